@@ -120,12 +120,12 @@ def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", qual
     """One row per stratum that has a certified cutoff: stratum, map from rule to the lowest bucket that is rejected."""
     truth = narrow(labels, label_id=id_col, quality=quality_col).filter("label_id is not null and quality is not null").groupBy("label_id").agg(F.min("quality").alias("quality"))
     held = measured.filter("not base_failed").join(truth, F.col("doc_id") == F.col("label_id")).select("stratum", (F.col("quality") > 0).alias("good"), F.explode(buckets()).alias("rule", "bucket"))
-    cells = held.groupBy("stratum", "rule", "bucket").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    cells = cut(held.groupBy("stratum", "rule", "bucket").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")))
     strict = Window.partitionBy("stratum", "rule").orderBy(F.desc("bucket"))
     group = Window.partitionBy("stratum", "rule")
-    strata = cells.agg(F.count_distinct("stratum").alias("strata"))
-    tested = cells.select("*", F.sum("good").over(strict).alias("k"), F.sum("bad").over(strict).alias("hits"), F.sum("good").over(group).alias("n")).crossJoin(F.broadcast(strata))
-    level = F.lit(delta) / (len(RULES) * F.col("strata"))
+    strata = max(1, cells.select("stratum").distinct().count())
+    tested = cells.select("*", F.sum("good").over(strict).alias("k"), F.sum("bad").over(strict).alias("hits"), F.sum("good").over(group).alias("n"))
+    level = delta / (len(RULES) * strata)
     tested = tested.withColumn("fails", (binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES)) > level).cast("int"))
     certified = tested.withColumn("failed", F.max("fails").over(strict)).filter("failed = 0 and bucket > 0 and hits > 0").withColumn("gain", F.col("hits") - GOOD_WEIGHT * F.col("k")).filter("gain > 0")
     best = certified.groupBy("stratum", "rule").agg(F.max_by("bucket", F.struct("gain", "bucket")).alias("bucket"))
