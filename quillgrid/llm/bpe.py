@@ -42,7 +42,7 @@ from .frames import map_arrow, narrow
 
 U = np.uint64
 #: Code points split at once, and code points of a block of documents.
-PIECE, BLOCK = 1 << 19, 32_000_000
+PIECE, BLOCK = 1 << 19, 12_000_000
 #: White space as the pre-tokenizer sees it (fixed values): U+0009-000D, 0020, 0085, 00A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000.
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
@@ -418,18 +418,20 @@ def pieces(path: str) -> Pieces:
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids; null ids decode to "".  An id outside the vocabulary is an error."""
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.types import StringType, StructType
 
-    from ..runtime import ship
+    schema = StructType([*encoded.schema.fields]).add(out_col, StringType())
+    at = encoded.columns.index(ids_col)
 
-    ship(encoded.sparkSession)
-
-    @pandas_udf("string")
-    def text(ids):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(path)
-        return ids.map(table.text)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                texts = [table.text(x) for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out_col])
 
-    return encoded.withColumn(out_col, text(F.col(f"`{ids_col}`")))
+    return map_arrow(encoded, run, schema)
 
 
 class LocalEncoder:
