@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, neardup, quality, substring, tokencount
+from . import bpe, decontam, neardup, quality, substring, tokencount, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: The rules that op4 is given.
+URL_RULES = [urls.Rule("allow", "org", "/"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"), urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("byte_bpe_50k.json")
     decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -51,6 +59,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_decontamination": op2_decontamination,
+    "op4_url_filter": op4_url_filter,
     "op5_bpe": op5_bpe,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
