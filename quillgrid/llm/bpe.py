@@ -126,8 +126,26 @@ class Vocabulary:
         self.size = max(pieces) + 1
         self.pieces = [pieces.get(i, b"") for i in range(self.size)]
 
+        self.core = self._core(config["model"], vocab)
+
+    def _core(self, model: dict, vocab: dict[str, int]):  # noqa: ANN202
+        """Merging by ranks, about eight times as fast for single words, where ids stand in the order of the merges (else the same would not come out)."""
+        try:
+            import tiktoken
+        except ModuleNotFoundError:
+            return None
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        plain = {i: p for i, p in enumerate(self.pieces) if i not in self.added.values()}
+        if [vocab.get(m) for m in merges] != list(range(256, 256 + len(merges))) or len(plain) != 256 + len(merges) or len(set(plain.values())) != len(plain):
+            return None
+        return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks={p: i for i, p in plain.items()}, special_tokens={})._core_bpe
+
     def encode(self, words: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """Ids of words as ``split`` makes them, or of added tokens."""
+        if self.core is None:
+            return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        one, added = self.core.encode_single_piece, self.added
+        return [one(w.encode()) if w not in added else [added[w]] for w in words]
 
 
 @lru_cache(2)
