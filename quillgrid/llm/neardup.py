@@ -6,9 +6,10 @@
    copies, however many, never meet as pairs.
 3. Band buckets with several ids propose links: first each id with one centre of
    its buckets, then, between components that are still apart, with the centres of
-   all its buckets, and last all pairs of a bucket that lie in different components
-   and were not compared yet.  A large group of near copies is connected by the
-   first two steps, so its pairs are never listed.
+   all its buckets, and last the pairs of a bucket that lie in different components,
+   were not compared yet and pass a bound on what they can share.  A large group of
+   near copies is connected by the first two steps, and texts that drifted too far
+   from it fail the bound, so its pairs are never listed.
 4. Links are confirmed on the full sets, after a bound on the set sizes; the
    connected components of confirmed links are the groups.
 
@@ -37,6 +38,8 @@ from .frames import components, map_arrow, narrow
 
 U = np.uint64
 WIDTH, RANKS, BANDS = 5, 128, 32
+#: Hash cells of the bound on shared shingles.
+CELLS = 128
 #: Links are confirmed at this percentage.
 PERCENT = 75
 
@@ -172,8 +175,11 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     apart = _between(stars.join(first, ["a", "b"], "left_anti"), found)
     links = links.union(cut(_confirm(apart, sets, percent)))
     found = cut(components(links))
-    rest = _apart_in_buckets(members, found, near).join(stars, ["a", "b"], "left_anti")
-    links = links.union(cut(_confirm(rest, sets, percent)))
+    open_ = cut(_open_members(members, found))
+    some = bounded(open_.select("doc_id").distinct())
+    open_sets = cut(map_arrow(base.join(some, "doc_id", "left_semi"), _sets, "doc_id long, shingles array<long>"))
+    rest = cut(_apart_in_buckets(open_, open_sets, percent).join(stars, ["a", "b"], "left_anti"))
+    links = links.union(cut(_confirm(rest, open_sets, percent)))
     groups = components(links.union(same))
     joined = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(groups, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
@@ -188,13 +194,45 @@ def _between(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return tagged.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _apart_in_buckets(members: DataFrame, found: DataFrame, near: Callable) -> DataFrame:
-    """Pairs of one bucket in different components: only buckets that still hold several components are looked at."""
+def _open_members(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, doc_id, n, c) of the buckets that still hold several components."""
     tagged = members.select("bucket", "doc_id", "n").join(found, F.col("doc_id") == F.col("id"), "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
     open_ = tagged.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo <> hi and size > 2").select("bucket")
-    left = cut(tagged.join(open_, "bucket"))
-    right = left.select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))
-    return left.join(right, "bucket").filter("doc_id > b and c <> bc").filter(near(F.col("n"), F.col("bn"))).select(F.col("doc_id").alias("a"), "b").distinct()
+    return tagged.join(open_, "bucket")
+
+
+def _histograms(sets: DataFrame) -> DataFrame:
+    """(id, h): per hash cell, how many shingles of a set stand in another of the sets too.  Ids with several sets get full cells."""
+    flat = sets.select("doc_id", F.explode("shingles").alias("s"))
+    lone = flat.groupBy("s").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).filter("k = 1")
+    cell = F.pmod(F.xxhash64("s"), F.lit(CELLS)).cast("int").alias("g")
+    counted = flat.select("doc_id", cell, F.lit(1).alias("v")).union(lone.select("doc_id", cell, F.lit(-1).alias("v"))).groupBy("doc_id", "g").agg(F.sum("v").cast("int").alias("v"))
+    cells = counted.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("g", "v"))).alias("cells"))
+    several = sets.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("sets"))
+    array = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda g: F.coalesce(F.try_element_at("cells", g), F.lit(0)))
+    return several.join(cells, F.col("id") == F.col("doc_id"), "left").select("id", F.when(F.col("sets") > 1, F.array_repeat(F.lit(1 << 20), CELLS)).when(F.col("cells").isNotNull(), array).otherwise(F.array_repeat(F.lit(0), CELLS)).alias("h"))
+
+
+def _apart_in_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket in different components that may be similar enough.
+
+    Only shingles that several open members hold can be shared.  With m of them in a
+    set, similarity needs (100 + percent) * min(m) >= percent * (n + k), and a member
+    asks only the sizes k of its bucket for which that can hold: a text that has drifted
+    too far from its group asks none, however large the group is.  A pair must also pass
+    the bound with the sum over hash cells of the smaller count, which adds up what
+    either text lacks.  Both are upper bounds of the intersection, so no link is lost.
+    """
+    known = members.join(_histograms(sets), F.col("doc_id") == F.col("id"), "left")
+    known = cut(known.select("bucket", "doc_id", "n", "c", "h", F.aggregate("h", F.lit(0), lambda a, x: a + x).alias("m")))
+    fits = lambda m, n, k: ((100 + percent) * m >= percent * (n + k)) & (100 * F.least(n, k) >= percent * F.greatest(n, k))
+    sizes = known.groupBy("bucket", F.col("n").alias("k")).agg(F.max("m").alias("most"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    asked = known.join(sizes, "bucket").filter("c <> lo or c <> hi").filter(fits(F.least("m", "most"), F.col("n"), F.col("k"))).select("bucket", "k", F.col("doc_id").alias("a"), "n", "m", "c", "h")
+    right = known.select(F.col("bucket").alias("in"), F.col("n").alias("bn"), F.col("doc_id").alias("b"), F.col("m").alias("bm"), F.col("c").alias("bc"), F.col("h").alias("bh"))
+    both = F.aggregate(F.zip_with("h", "bh", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    apart = (F.col("a") > F.col("b")) & (F.col("c") != F.col("bc")) & fits(F.least("m", "bm"), F.col("n"), F.col("k"))
+    pairs = asked.join(right, (F.col("bucket") == F.col("in")) & (F.col("k") == F.col("bn")) & apart & fits(both, F.col("n"), F.col("k")))
+    return pairs.select("a", "b").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
