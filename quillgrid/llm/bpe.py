@@ -106,46 +106,52 @@ def split(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """The tokenizer file, opened once in each process: encodes words, and knows each id's bytes."""
+    """The tokenizer file, read once in each process: encodes words, and knows each id's bytes.
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+    Words are merged by ranks where ids stand in the order of the merges, which gives the
+    library's ids about eight times as fast; else the library itself encodes them, and is
+    loaded only then.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        config = json.loads(self.tokenizer.to_str())
-        if config["pre_tokenizer"]["type"] != "ByteLevel" or config["pre_tokenizer"]["add_prefix_space"] or config["normalizer"]:
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as file:
+            config = json.load(file)
+        if config["model"]["type"] != "BPE" or config["pre_tokenizer"]["type"] != "ByteLevel" or config["pre_tokenizer"]["add_prefix_space"] or config["normalizer"]:
             raise ValueError("a byte-level BPE without normalizer and prefix space is needed")
+        self.path = path
         self.added = {x["content"]: x["id"] for x in config["added_tokens"]}
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         chars = {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        vocab = {p: i for p, i in config["model"]["vocab"].items() if p not in self.added}
         pieces = {i: bytes(chars[c] for c in p) if all(c in chars for c in p) else p.encode() for p, i in vocab.items()}
         pieces |= {i: p.encode() for p, i in self.added.items()}
-        self.size = max(pieces) + 1
-        self.pieces = [pieces.get(i, b"") for i in range(self.size)]
+        self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+        self.core = self._core(config["model"]["merges"], vocab)
+        self.library = None
 
-        self.core = self._core(config["model"], vocab)
-
-    def _core(self, model: dict, vocab: dict[str, int]):  # noqa: ANN202
-        """Merging by ranks, about eight times as fast for single words, where ids stand in the order of the merges (else the same would not come out)."""
+    def _core(self, merges: list, vocab: dict[str, int]):  # noqa: ANN202
         try:
             import tiktoken
         except ModuleNotFoundError:
             return None
-        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in merges]
         plain = {i: p for i, p in enumerate(self.pieces) if i not in self.added.values()}
-        if [vocab.get(m) for m in merges] != list(range(256, 256 + len(merges))) or len(plain) != 256 + len(merges) or len(set(plain.values())) != len(plain):
+        if [vocab.get(m) for m in made] != list(range(256, 256 + len(made))) or len(plain) != 256 + len(made) or len(set(plain.values())) != len(plain):
             return None
         return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks={p: i for i, p in plain.items()}, special_tokens={})._core_bpe
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """Ids of words as ``split`` makes them, or of added tokens."""
-        if self.core is None:
-            return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        one, added = self.core.encode_single_piece, self.added
-        return [one(w.encode()) if w not in added else [added[w]] for w in words]
+        if self.core is not None:
+            one, added = self.core.encode_single_piece, self.added
+            return [one(w.encode()) if w not in added else [added[w]] for w in words]
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_padding()
+            self.library.no_truncation()
+        return [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
 
 @lru_cache(2)
@@ -440,9 +446,10 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
 
     schema = StructType([*encoded.schema.fields]).add(out_col, StringType())
     at = encoded.columns.index(ids_col)
+    shared = encoded.sparkSession.sparkContext.broadcast(pieces(path))  # one entry per vocabulary id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(path)
+        table = shared.value
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
