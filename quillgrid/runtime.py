@@ -13,12 +13,20 @@ from pyspark.sql import functions as F
 _SHIPPED: dict[str, bool] = {}
 _FALLBACK: list[tempfile.TemporaryDirectory] = []
 
+#: Rows of an Arrow batch.
+ARROW_ROWS = 1000
 #: Rows of a key list that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so Python workers can import it."""
+    """Send this package to the executors once per application, so Python workers can import it.
+
+    Also lowers the rows of an Arrow batch from Spark's default: rows can be long texts,
+    and a batch stands in memory both in the JVM and in the worker.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     sc = spark.sparkContext
     if _SHIPPED.get(sc.applicationId):
         return
