@@ -1,14 +1,479 @@
-"""The registered queries of the library and their SQL oracles."""
+"""The registered queries of the library and their SQL oracles.
+
+Agreements are rendered from the order and customer tables; the oracles state the
+expected facts straight from base columns, so they share no rule with the library.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import synth
+from .functions import checks, geometry, text
+from .operators import engine, layout, link, ocrpost, resolve, spatial, summary
+from .operators.rules import candidate
+from .plans import extraction
+from .runtime import cut
+from .sources import recognised
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its function's name, with its oracle if there is one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["percentage_entities"](spark, sf_dir)
+    return percentage_entities(spark, sf_dir)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _found(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
+    return engine.extract(synth.lines(spark, sf_dir), [rule])
+
+
+def _six(c: str) -> Column:
+    return F.round(c, 6).alias(c)
+
+
+# --- extraction rules -------------------------------------------------------------------------------
+
+
+@query("select o_orderkey as doc_id, cast(o_orderkey % 20 + 1 as varchar) as value, 'annual_interest_rate' as role_hint, 'annual' as period, round(0.25 + 0.40 + 0.15 + 0.092, 6) as confidence from orders")
+def percentage_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, "document.percentage.patterns.v1").select("doc_id", "value", "role_hint", F.col("metadata")["period"].alias("period"), _six("confidence"))
+
+
+@query("""select o_orderkey as doc_id, strftime(o_orderdate, '%Y-%m-%d') as value, 'contract_date' as role_hint, 'textual' as date_format, round(0.20 + 0.35 + 0.30 + 0.05 + 0.09, 6) as confidence from orders
+union all select o_orderkey, strftime(cast(o_orderdate as date) + 365, '%Y-%m-%d'), 'repayment_due_date', 'numeric', round(0.20 + 0.35 + 0.30 + 0.05 + 0.093, 6) from orders""")
+def date_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, "document.date.patterns.v1").select("doc_id", "value", "role_hint", F.col("validation")["date_format"].alias("date_format"), _six("confidence"))
+
+
+@query("select o_orderkey as doc_id, printf('%.2f', o_totalprice) as value, 'KZT' as currency, 'principal_amount' as role_hint, round(0.20 + 0.30 + 0.25 + 0.05 + 0.091, 6) as confidence from orders")
+def money_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, "document.money_amount.currency.v1").select("doc_id", "value", F.col("metadata")["currency"].alias("currency"), "role_hint", _six("confidence"))
+
+
+@query("""select o_orderkey as doc_id, 'ТОО «Альфа' || (o_orderkey % 100) || '»' as value, 'ТОО' as legal_form, 'lender' as role_hint, round(0.20 + 0.40 + 0.20 + 0.10 + 0.094, 6) as confidence from orders
+union all select o_orderkey, 'ООО «Бета' || o_custkey || '»', 'ООО', 'borrower', round(0.20 + 0.40 + 0.20 + 0.10 + 0.099, 6) from orders""")
+def organization_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, "legal.organization.legal_form.v2").select("doc_id", "value", F.col("metadata")["legal_form"].alias("legal_form"), "role_hint", _six("confidence"))
+
+
+@query("""select o_orderkey as doc_id, 'Народный' as value, 'left_column' as region, round(0.15 + 0.40 + 0.25 + 0.10 + 0.096, 6) as confidence from orders
+union all select o_orderkey, 'Демир', 'right_column', round(0.15 + 0.40 + 0.25 + 0.10 + 0.091, 6) from orders""")
+def bank_name_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, "legal.bank_name.context.v2").select("doc_id", "value", "region", _six("confidence"))
+
+
+@query("""select o_orderkey as doc_id, 'директор' as value, 'left_column' as region, round(0.25 + 0.50 + 0.098, 6) as confidence from orders
+union all select o_orderkey, 'директор', 'right_column', round(0.25 + 0.50 + 0.093, 6) from orders""")
+def position_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, "legal.position.dictionary.v2").select("doc_id", "value", "region", _six("confidence"))
+
+
+@query("""select o_orderkey as doc_id, 'Иванов И.И' as value, 'left_column' as region, round(0.20 + 0.40 + 0.25 + 0.098, 6) as confidence from orders
+union all select o_orderkey, 'Асанов Б.К', 'right_column', round(0.20 + 0.40 + 0.25 + 0.093, 6) from orders""")
+def person_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, "legal.person_name.context.v2").select("doc_id", "value", "region", _six("confidence"))
+
+
+@query("""select o_orderkey as doc_id, '050000, г. Алматы, ул. Абая д. ' || (o_orderkey % 300 + 1) as value, '050000' as postal_code, 'legal_address' as role_hint, round(0.20 + 0.35 + 0.30 + 0.095, 6) as confidence from orders
+union all select o_orderkey, '720000, г. Бишкек, ул. Чуй д. ' || (o_custkey % 300 + 1), '720000', 'postal_address', round(0.20 + 0.35 + 0.30 + 0.09, 6) from orders""")
+def address_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, "legal.address.context.v1").select("doc_id", "value", F.col("validation")["postal_code"].alias("postal_code"), "role_hint", _six("confidence"))
+
+
+def _number(rule: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _found(spark, sf_dir, rule).select("doc_id", "value", F.array_join("anchor_word_ids", ",").alias("anchor"), _six("confidence"))
+
+
+# anchor and value stand side by side, 0.005 apart: the gap scores 0.10 * (1 - 0.005 / most)
+for _name, _rule, _value, _anchor, _confidence in (
+    ("bin_entities", "tax_id.bin.anchor_right.v2", "lpad(cast(o_orderkey as varchar), 12, '0')", "p1-w67", "0.20 + 0.30 + 0.25 + 0.09 + 0.094 + 0.05"),
+    ("inn_entities", "tax_id.inn.anchor_right.v1", "lpad(cast(o_custkey as varchar), 10, '0')", "p1-w147", "0.20 + 0.30 + 0.25 + 0.09 + 0.099 + 0.05"),
+    ("iin_entities", "tax_id.iin.anchor_right.v1", "lpad(cast(o_custkey + 7 as varchar), 12, '0')", "p1-w224", "0.20 + 0.30 + 0.25 + 0.09 + 0.094 + 0.05"),
+    ("bik_entities", "bank.bik.anchor_right.v1", "'HSBKKZ' || lpad(cast(o_orderkey % 100 as varchar), 2, '0')", "p1-w98", "0.20 + 0.30 + 0.25 + 0.10 * (1 - 0.005 / 0.06) + 0.096 + 0.05"),
+    ("swift_entities", "bank.bic_swift.anchor_right.v1", "'DEMIKG22'", "p1-w178", "0.20 + 0.30 + 0.25 + 0.10 * (1 - 0.005 / 0.06) + 0.091 + 0.05"),
+    ("account_entities", "bank.account.anchor_right.v1", "'1' || lpad(cast(o_custkey as varchar), 15, '0')", "p1-w192", "0.15 + 0.30 + 0.25 + 0.10 * (1 - 0.005 / 0.12) + 0.092 + 0.05"),
+):
+    QUERIES[_name] = _number(_rule)
+    ORACLES[_name] = f"select o_orderkey as doc_id, {_value} as value, '{_anchor}' as anchor, round({_confidence}, 6) as confidence from orders"
+
+
+#: Remainder of an account's number with 00 as check digits; 00 is as good as 97, which is right for remainder 1.
+_REST = "cast('125203529' || lpad(cast({0} as varchar), 10, '0') || '203500' as hugeint) % 97"
+_GOOD = "({0} % 2 = 0 or " + _REST + " = 1)"
+
+
+@query(f"""select o_orderkey as doc_id, 'KZ' || case when o_orderkey % 2 = 0 then lpad(cast(98 - {_REST.format("o_orderkey")} as varchar), 2, '0') else '00' end || '125KZT' || lpad(cast(o_orderkey as varchar), 10, '0') as value,
+case when {_GOOD.format("o_orderkey")} then 'valid' else 'checksum_invalid' end as status, round(least(1.0, 0.15 + 0.30 + 0.25 + 0.10 * (1 - 0.005 / 0.12) + 0.097 + 0.05 + case when {_GOOD.format("o_orderkey")} then 0.10 else -0.08 end), 6) as confidence from orders""")
+def iban_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, "bank.iban.kz.anchor_right.v1").select("doc_id", "value", F.col("validation")["status"].alias("status"), _six("confidence"))
+
+
+@query("""select entity_type, n from (values ('date', 2), ('money_amount', 1), ('percentage', 1), ('organization', 2), ('bank_name', 2), ('position', 2), ('person_name', 2), ('address', 2), ('bin', 1), ('iin', 1), ('inn', 1), ('bik', 1), ('bic_swift', 1), ('iban', 1), ('bank_account', 1)) t(entity_type, k), lateral (select count(*) * k as n from customer) u""")
+def all_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.extract(synth.lines(spark, sf_dir, per_customer=True)).groupBy("entity_type").agg(F.count("*").alias("n"))
+
+
+# --- sources and scalars ----------------------------------------------------------------------------
+
+
+@query("select doc_id, len(w) as n_words, len(list_distinct(w)) as n_distinct from (select doc_id, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '') as w from documents)")
+def words_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.array_remove(F.split(F.coalesce("text", F.lit("")), " "), "")
+    return table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    a = geometry.box(c("l_discount"), c("l_tax"), c("l_discount") + c("l_quantity") / 100, c("l_tax") + 0.05)
+    b = geometry.box(c("l_tax"), c("l_discount"), c("l_tax") + 0.1, c("l_discount") + c("l_quantity") / 200)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", a.alias("a"), b.alias("b"))
+
+
+@query("""with t as (select l_orderkey, l_linenumber, l_partkey, l_discount ax1, l_tax ay1, l_discount + l_quantity / 100 ax2, l_tax + 0.05 ay2, l_tax bx1, l_discount by1, l_tax + 0.1 bx2, l_discount + l_quantity / 200 by2 from lineitem),
+u as (select *, case when greatest(ax1, bx1) < least(ax2, bx2) and greatest(ay1, by1) < least(ay2, by2) then (least(ax2, bx2) - greatest(ax1, bx1)) * (least(ay2, by2) - greatest(ay1, by1)) else 0 end as ov, (ax2 - ax1) * (ay2 - ay1) as aa, (bx2 - bx1) * (by2 - by1) as ab from t)
+select l_orderkey, l_linenumber, l_partkey, round(aa, 6) as area, round(ov, 6) as shared, round(case when ov > 0 and aa + ab - ov > 0 then ov / (aa + ab - ov) else 0 end, 6) as iou,
+round(greatest(bx1 - ax2, ax1 - bx2, 0), 6) as gap_x, round(greatest(by1 - ay2, ay1 - by2, 0), 6) as gap_y, round(greatest(0, least(ay2, by2) - greatest(ay1, by1)) / least(ay2 - ay1, by2 - by1), 6) as overlap_y, round(least(ax1, bx1), 6) as union_x1, round(greatest(ay2, by2), 6) as union_y2 from u""")
+def box_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    r = lambda c, name: F.round(c, 6).alias(name)
+    whole = geometry.union(a, b)
+    return _boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", r(geometry.area(a), "area"), r(geometry.intersection_area(a, b), "shared"), r(geometry.iou(a, b), "iou"), r(geometry.horizontal_gap(a, b), "gap_x"), r(geometry.vertical_gap(a, b), "gap_y"), r(geometry.vertical_overlap_ratio(a, b), "overlap_y"), r(whole["x1"], "union_x1"), r(whole["y2"], "union_y2"))
+
+
+@query("""with t as (select o_orderkey, lpad(cast(o_orderkey as varchar), 10, '0') as d from orders), u as (select o_orderkey, d, cast('125203529' || d || '203500' as hugeint) as n from t)
+select o_orderkey, o_orderkey % 2 = 0 or n % 97 = 1 as good, 'KZ' || case when o_orderkey % 2 = 0 then lpad(cast(98 - n % 97 as varchar), 2, '0') else '00' end || '125KZT' || d as value from u""")
+def iban_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    value = F.concat(F.lit("KZ"), synth.check_digits(key), F.lit("125KZT"), synth.digits(key, 10))
+    return table(spark, sf_dir, "orders").select("o_orderkey", checks.mod97(value).alias("good"), value.alias("value"))
+
+
+@query("""select o_orderkey, case when o_orderkey % 4 = 0 then printf('%.2f', o_totalprice) when o_orderkey % 4 = 1 then cast(cast(floor(o_totalprice) as bigint) as varchar) || '.5' when o_orderkey % 4 = 2 then cast(cast(floor(o_totalprice) as bigint) as varchar) else '1234567' end as amount,
+case when o_orderkey % 32 between 1 and 28 then strftime(make_date(1996, 2, cast(o_orderkey % 32 as int)), '%Y-%m-%d') when o_orderkey % 32 = 29 then '1996-02-29' end as day, cast(o_orderkey % 7 as varchar) || case when o_orderkey % 3 = 0 then '' else '.5' end as percent from orders""")
+def written_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    whole = F.floor(price).cast("string")
+    shown = F.when(key % 4 == 0, F.format_number(price, 2)).when(key % 4 == 1, F.concat(whole, F.lit(",5"))).when(key % 4 == 2, F.concat(F.lit("0"), whole)).otherwise("1,234.567")
+    percent = F.concat((key % 7).cast("string"), F.when(key % 3 == 0, ",00").otherwise(",50"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", checks.amount(shown).alias("amount"), checks.calendar_date(F.lit(1996), F.lit(2), (key % 32).cast("int")).alias("day"), checks.percent(percent).alias("percent"))
+
+
+@query("""select c_custkey, lower(c_name) as key, 'TOO ' || upper(c_mktsegment) as name, 'KZ' || lpad(cast(c_custkey as varchar), 6, '0') as identifier, regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g') as organization, regexp_replace(c_name, '[^A-Za-z0-9_.-]+', '_', 'g') || '.pdf' as file_name from customer""")
+def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    shown = F.concat(F.lit("«"), "c_name", F.lit("»,"))
+    code = F.concat(F.lit("К-Z "), F.lpad(F.col("c_custkey").cast("string"), 6, "0"))
+    return c.select("c_custkey", text.token(shown).alias("key"), F.concat(F.lit("TOO "), F.upper("c_mktsegment")).alias("name"), text.identifier(code).alias("identifier"), text.organization_key(F.col("c_name")).alias("organization"), text.safe_file_name(F.concat(F.lit("../x/"), "c_name", F.lit(".PDF"))).alias("file_name"))
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document per customer with a fault that follows from its key."""
+    key = F.col("c_custkey")
+    word = lambda t, c, x: F.struct(t.alias("t"), c.alias("c"), F.array(x, F.lit(0.1), F.lit(0.5), F.lit(0.2)).alias("b"), F.array(F.when(key % 11 == 4, 3).otherwise(0)).alias("v"))
+    words = F.array(word(F.when(key % 11 == 1, " ").otherwise("слово"), F.when(key % 11 == 2, 1.5).otherwise(0.9), F.when(key % 11 == 3, 0.9).otherwise(0.1)), word(F.lit("два"), F.lit(0.8), F.lit(0.2)))
+    value = F.struct(F.lit("bin").alias("type"), F.when(key % 11 == 5, "").otherwise("1").alias("value"), F.when(key % 11 == 6, 9).otherwise(1).alias("page"), F.array(F.lit(0.1), F.lit(0.1), F.lit(0.2), F.lit(0.2)).alias("bbox"), F.array(F.lit(0)).alias("words"))
+    region = F.struct(F.lit("body").alias("type"), F.array(F.lit(0), F.when(key % 11 == 7, 5).otherwise(2)).alias("words"))
+    page = F.struct(F.when(key % 11 == 8, 2).otherwise(1).alias("page"), words.alias("words"), F.array(region).alias("regions"))
+    document = F.to_json(F.struct(F.lit("текст").alias("document_text"), F.array(value).alias("values"), F.array(page).alias("pages")))
+    return table(spark, sf_dir, "customer").select(key.alias("doc_id"), F.when(key % 11 == 9, F.lit("{not json")).otherwise(document).alias("json"))
+
+
+@query("""select c_custkey as doc_id, case c_custkey % 11 when 0 then 0 when 4 then 2 when 10 then 0 else 1 end as n_errors, case c_custkey % 11 when 1 then '$.pages[0].words[0].t: blank' when 2 then '$.pages[0].words[0].c: not between 0 and 1' when 3 then '$.pages[0].words[0].b: four ordered numbers are needed' when 4 then '$.pages[0].words[0].v: no such value'
+when 5 then '$.values[0].value: blank' when 6 then '$.values[0].page: no such page' when 7 then '$.pages[0].regions[0].words: not a range of the page''s words' when 8 then '$.pages[0].page: pages are numbered from 1 without gaps' when 9 then '$: not JSON' end as first_error from customer""")
+def payload_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = recognised.parse(_payloads(spark, sf_dir))
+    keep = F.filter("errors", lambda e: ~e.startswith("$.values[0].words"))  # follows from a page that doesn't exist
+    return parsed.select("doc_id", F.size(keep).alias("n_errors"), F.get(keep, F.lit(0)).alias("first_error"))
+
+
+@query("""select c_custkey as doc_id, unnest(['слово', 'два']) as word, 'body' as region, unnest([0.9, 0.8]) as confidence from customer where c_custkey % 11 in (0, 10)""")
+def word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognised.words(recognised.parse(_payloads(spark, sf_dir))).select("doc_id", F.col("word.t").alias("word"), "region", F.col("word.c").alias("confidence"))
+
+
+@query("""with w as (select o_orderkey, unnest(range(0, 6)) as i, cast(o_orderkey % 5 as bigint) as k from orders), r as (select w.*, r.* from w, lateral (values (0, 'page', 0, 6), (1, 'block', k, k + 3), (2, 'cell', k + 1, k + 2)) r(n, type, a, b) where i >= a and i < b)
+select o_orderkey, i, type as region from (select *, row_number() over (partition by o_orderkey, i order by b - a, n) as nth from r) where nth = 1""")
+def region_of_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = (F.col("o_orderkey") % 5).cast("int")
+    region = lambda name, a, b: F.struct(F.lit(name).alias("type"), F.array(a, b).alias("words"))
+    regions = F.array(region("page", F.lit(0), F.lit(6)), region("block", k, k + 3), region("cell", k + 1, k + 2))
+    flat = table(spark, sf_dir, "orders").select("o_orderkey", regions.alias("regions"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
+    return flat.select("o_orderkey", F.col("i").cast("long").alias("i"), recognised.region_of(F.col("regions"), F.col("i")).alias("region"))
+
+
+# --- layout and searches ----------------------------------------------------------------------------
+
+_TEXTS = """select o_orderkey as doc_id, unnest(range(0, 15)) as line_no, unnest([
+'Договор займа от «' || day(o_orderdate) || '» ' || ['января', 'февраля', 'марта', 'апреля', 'мая', 'июня', 'июля', 'августа', 'сентября', 'октября', 'ноября', 'декабря'][month(o_orderdate)] || ' ' || year(o_orderdate) || ' года',
+'Сумма займа составляет ' || format('{:,.2f}', o_totalprice) || ' тенге', 'Процентная ставка ' || (o_orderkey % 20 + 1) || ' % годовых', 'Вернуть средства срок до ' || strftime(cast(o_orderdate as date) + 365, '%d.%m.%Y'),
+'Займодавец ТОО «Альфа' || (o_orderkey % 100) || '», БИН ' || lpad(cast(o_orderkey as varchar), 12, '0'), 'Юридический адрес: 050000, г. Алматы, ул. Абая д. ' || (o_orderkey % 300 + 1), 'Банк: Народный БИК HSBKKZ' || lpad(cast(o_orderkey % 100 as varchar), 2, '0'),
+'IBAN KZ' || case when o_orderkey % 2 = 0 then lpad(cast(98 - cast('125203529' || lpad(cast(o_orderkey as varchar), 10, '0') || '203500' as hugeint) % 97 as varchar), 2, '0') else '00' end || '125KZT' || lpad(cast(o_orderkey as varchar), 10, '0'), 'Директор Иванов И.И.',
+'Заемщик ООО «Бета' || o_custkey || '», ИНН ' || lpad(cast(o_custkey as varchar), 10, '0'), 'Почтовый адрес: 720000, г. Бишкек, ул. Чуй д. ' || (o_custkey % 300 + 1), 'Банк: Демир SWIFT DEMIKG22', 'р/с 1' || lpad(cast(o_custkey as varchar), 15, '0'), 'Директор Асанов Б.К.', 'ИИН ' || lpad(cast(o_custkey + 7 as varchar), 12, '0')]) as text,
+unnest(['body', 'body', 'body', 'body', 'left_column', 'left_column', 'left_column', 'left_column', 'left_column', 'right_column', 'right_column', 'right_column', 'right_column', 'right_column', 'body']) as region from orders"""
+
+
+@query(f"select doc_id, text, region, len(string_split(text, ' ')) as n_words, round(0.90 + 0.01 * (line_no % 10), 6) as confidence from ({_TEXTS})")
+def line_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.lines(spark, sf_dir).select("doc_id", "text", "region", F.size("words").cast("long").alias("n_words"), _six("confidence"))
+
+
+@query(f"select doc_id, text, string_agg(text, chr(10)) over (partition by doc_id, region order by line_no rows between 1 preceding and 2 following) as context from ({_TEXTS})")
+def line_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.context(synth.lines(spark, sf_dir), 1, 2).select("doc_id", "text", "context")
+
+
+@query("select c_custkey as doc_id, cast(15 as bigint) as n_lines, cast(15 as bigint) as n_texts from customer")
+def line_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = synth.words(synth.customers(spark, sf_dir))
+    same = words.select("doc_id", "page", "region", "word")
+    return layout.build_lines(same).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_distinct("region", "text").alias("n_texts"))
+
+
+_WORDS = f"(select doc_id, line_no, region, pos, line_no * 16 + pos as i, string_split(text, ' ')[pos + 1] as word from (select *, unnest(range(0, len(string_split(text, ' ')))) as pos from ({_TEXTS})))"
+
+
+@query(f"select a.doc_id, a.i, b.i as other, b.pos - a.pos as nth from {_WORDS} a join {_WORDS} b on a.doc_id = b.doc_id and a.line_no = b.line_no and b.pos > a.pos and b.pos <= a.pos + 2")
+def words_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return spatial.words_beside(synth.lines(spark, sf_dir), right=True, limit=2).select("doc_id", long("i"), long("other"), long("nth"))
+
+
+@query(f"select doc_id, text, lead(text) over (partition by doc_id, region order by line_no) as next_text from ({_TEXTS}) where region <> 'body' qualify next_text is not null")
+def lines_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = synth.lines(spark, sf_dir).filter("region <> 'body'")
+    found = spatial.lines_beside(lines, below=True, limit=1)
+    t = lines.select("doc_id", "line_id", "text")
+    return found.join(t, ["doc_id", "line_id"]).join(t.select("doc_id", F.col("line_id").alias("other"), F.col("text").alias("next_text")), ["doc_id", "other"]).select("doc_id", "text", "next_text")
+
+
+@query("""with w as (select c_custkey as doc_id, unnest(range(0, 12)) as i from customer), p as (select *, (i % 4) * 0.1 as x, (i // 4) * 0.07 + i * 0.001 as y from w),
+d as (select a.doc_id, a.i, b.i as other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as distance, b.y as oy, b.x as ox from p a join p b on a.doc_id = b.doc_id and a.i <> b.i)
+select doc_id, i, other, nth from (select *, row_number() over (partition by doc_id, i order by distance, oy, ox, other) as nth from d) where nth <= 3""")
+def nearest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("i")
+    x, y = (i % 4) * F.lit(0.1), F.floor(i / 4) * F.lit(0.07) + i * F.lit(0.001)
+    word = layout.word_struct(i, F.lit("w"), F.lit(""), F.lit(1.0), geometry.box(x, y, x, y))
+    flat = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i"))
+    lines = flat.groupBy("doc_id", F.lit(1).alias("page"), F.lit("body").alias("region"), F.lit("l").alias("line_id"), F.lit(0).alias("line_index")).agg(F.collect_list(word).alias("words"))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return spatial.nearest_words(lines, limit=3).select("doc_id", long("i"), long("other"), long("nth"))
+
+
+@query(f"select doc_id, count(*) as n from {_WORDS} where lower(word) = 'директор' group by doc_id")
+def find_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.find_words(synth.lines(spark, sf_dir), " Директор ", exact=True).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"select doc_id, text from ({_TEXTS}) where contains(lower(text), 'адрес')")
+def find_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.find_lines(synth.lines(spark, sf_dir), "АДРЕС").select("doc_id", "text")
+
+
+@query("""select source, doc_id, coalesce(sum(length(coalesce(text, '')) + 2) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as "start", (coalesce(sum(length(coalesce(text, '')) + 2) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) + length(coalesce(text, '')))::bigint as "end" from documents""")
+def text_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return ocrpost.text_spans(pages).select(F.col("doc_id").alias("source"), F.col("page").alias("doc_id"), long("start"), long("end"))
+
+
+@query("""select c_custkey as doc_id, unnest(['before_columns', 'left_column', 'right_column', 'after_columns']) as region, unnest(['Реквизиты сторон', 'a b c' || chr(10) || 'a b c', 'd e f' || chr(10) || 'd e f', 'one wide line across']) as text from customer""")
+def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def words(line: str, xs: list[float]) -> Column:
+        return F.array(*[F.struct(F.lit(x).alias("x"), F.lit(j).alias("n"), F.lit(t).alias("text"), F.lit(0.9).alias("confidence"), geometry.box(F.lit(x), F.lit(0.0), F.lit(x + 0.05), F.lit(0.1)).alias("box")) for j, (t, x) in enumerate(zip(line.split(), xs, strict=True))])
+
+    rows = [("Реквизиты сторон", [0.1, 0.2]), ("a b c d e f", [0.1, 0.2, 0.3, 0.6, 0.7, 0.8]), ("a b c d e f", [0.1, 0.2, 0.3, 0.6, 0.7, 0.8]), ("one wide line across", [0.3, 0.42, 0.48, 0.56])]
+    lines = F.array(*[F.struct(F.lit(i + 1).alias("nth"), F.lit(t).alias("text"), words(t, xs).alias("words")) for i, (t, xs) in enumerate(rows)])
+    flat = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(1.0).alias("page_width"), F.inline(lines))
+    return ocrpost.regions(ocrpost.page_layout(flat)).select("doc_id", "region", "text")
+
+
+@query("""select c_custkey as doc_id, unnest(['bin', 'bic_swift', 'account']) as type, unnest([lpad(cast(c_custkey as varchar), 12, '0'), 'HSBKKZKX', 'KZ00125' || lpad(cast(c_custkey as varchar), 8, '0')]) as value from customer""")
+def bank_value_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey").cast("string")
+    shown = F.concat(F.lit("БИН: "), F.lpad(key, 12, "0"), F.lit(", SWIFT HSBKKZKX; счет № KZ00125"), F.lpad(key, 8, "0"), F.lit("."))
+    return ocrpost.scan_values(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(1).alias("page"), shown.alias("text"))).select("doc_id", "type", "value")
+
+
+@query(f"""select doc_id, count(*) as words, round(avg(c), 4) as average, round(median(c), 4) as median, min(c) as minimum, sum(cast(c < 0.8 as int))::bigint as low, case when avg(c) >= 0.95 then 'excellent' when avg(c) >= 0.90 then 'good' when avg(c) >= 0.80 then 'review' else 'poor' end as grade from (select doc_id, round(0.90 + 0.01 * (line_no % 10), 6) as c from {_WORDS}) group by doc_id""")
+def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = synth.words(table(spark, sf_dir, "orders"))
+    words = words.withColumn("word", F.col("word").withField("c", F.round("word.c", 6)))
+    return summary.page_quality(words).select("doc_id", "words", "average", "median", "minimum", "low", "grade")
+
+
+@query(f"""select doc_id, 1::bigint as pages, count(*) as words, round(avg(c), 4) as average from (select doc_id, round(0.90 + 0.01 * (line_no % 10), 6) as c from {_WORDS}) group by doc_id""")
+def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = synth.words(table(spark, sf_dir, "orders"))
+    words = words.withColumn("word", F.col("word").withField("c", F.round("word.c", 6)))
+    return summary.document_quality(summary.page_quality(words)).select("doc_id", "pages", "words", "average")
+
+
+# --- engine and resolution --------------------------------------------------------------------------
+
+
+@query("select c_custkey as doc_id, 'own.first_word' as rule_id, 'duplicate_candidate_id' as error_type from customer where c_custkey % 5 = 0")
+def engine_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = engine.Registry(default=False)
+    one = lambda v: candidate("word", "own.first_word", F.slice("words", F.lit(1), F.lit(1)), F.lit(v), F.lit(0.9))
+    registry.register("own.first_word", lambda: F.when(F.col("line_index") > 0, F.array().cast(engine.rules.NONE)).when(F.col("doc_id") % 5 == 0, F.array(one("a"), one("b"))).otherwise(F.array(one("a"))))
+    return registry.run(synth.lines(spark, sf_dir, per_customer=True))[1].select("doc_id", "rule_id", "error_type")
+
+
+def _rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order: a BIN, its exact copy with less confidence, an INN on the same words, and a chain of overlapping names."""
+    key = F.col("o_orderkey")
+
+    def one(i: int, kind: str, value: str, confidence: Column, words: list[int]) -> Column:
+        ids = F.array(*[F.lit(f"p1-w{w}") for w in words])
+        box = geometry.box(F.lit(words[0] / 100), F.lit(0.1 * (1 + (i > 3))), F.lit((words[-1] + 1) / 100), F.lit(0.1 * (1 + (i > 3)) + 0.05))
+        return F.struct(F.lit(f"c{i}").alias("id"), F.lit(kind).alias("entity_type"), F.lit(value).alias("value"), ids.alias("word_ids"), confidence.alias("confidence"), box.alias("bbox"), F.lit(False).alias("ocr_confirmed"), F.create_map(F.lit("status"), F.lit("valid")).alias("validation"), F.lit(i).alias("ordinal"))
+
+    rows = [one(1, "bin", "1 2", F.lit(0.9), [1, 2]), one(2, "bin", "12", F.lit(0.8), [1, 2]), one(3, "inn", "12", 0.9 - (key % 3) * 0.05, [1, 2])]
+    rows += [one(4, "position", "a", F.lit(0.7), [21, 22, 23]), one(5, "person_name", "b", F.lit(0.7), [22, 23, 24]), one(6, "address", "c", F.lit(0.7), [23, 24, 25])]
+    return table(spark, sf_dir, "orders").select(key.alias("doc_id"), F.lit(1).alias("page"), F.inline(F.array(*rows)))
+
+
+@query("select o_orderkey as doc_id, unnest(['c1', 'c2', 'c3', 'c4', 'c5', 'c6']) as id, unnest([false, true, false, false, false, false]) as copy from orders")
+def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.exact_duplicates(_rivals(spark, sf_dir)).select("doc_id", "id", "copy")
+
+
+@query("select o_orderkey as doc_id, unnest(['c1', 'c2', 'c3', 'c4', 'c5', 'c6']) as id, unnest([1, 1, 1, 4, 4, 4]) as component from orders")
+def overlap_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.components(_rivals(spark, sf_dir)).select("doc_id", "id", F.col("component").cast("int").alias("component"))
+
+
+@query("select o_orderkey as doc_id, unnest(['c1', 'c2', 'c3', 'c4', 'c5', 'c6']) as id, unnest(['kept', 'rejected', case when o_orderkey % 3 = 2 then 'rejected' else 'kept' end, 'kept', 'kept', 'kept']) as outcome from orders")
+def resolve_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, rejected, _ = resolve.resolve(_rivals(spark, sf_dir))
+    return entities.select("doc_id", "id", F.lit("kept").alias("outcome")).unionByName(rejected.select("doc_id", "id", F.lit("rejected").alias("outcome")))
+
+
+@query("select o_orderkey as doc_id, case when o_orderkey % 3 = 2 then 'conflict_resolved_by_confidence' else 'ambiguous_entity_type' end as code, 'c1,c3' as ids from orders")
+def resolution_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve(_rivals(spark, sf_dir))[2].select("doc_id", "code", F.array_join("candidate_ids", ",").alias("ids"))
+
+
+# --- parties and results ----------------------------------------------------------------------------
+
+
+def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return extraction.from_lines(synth.lines(spark, sf_dir, per_customer=True))
+
+
+@query("""select c_custkey as doc_id, 'lender' as role, 'ТОО «Альфа' || (c_custkey % 100) || '»' as organization, 1 as identifiers, 1 as addresses, 7 as assigned from customer
+union all select c_custkey, 'borrower', 'ООО «Бета' || c_nationkey || '»', 1, 1, 7 from customer""")
+def parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir)["parties"].select("doc_id", "role", "organization", F.size("identifier_ids").alias("identifiers"), F.size("address_ids").alias("addresses"), F.size("assigned_ids").alias("assigned"))
+
+
+@query("""select c_custkey as doc_id, unnest(['bin', 'address', 'bank_name', 'bik', 'iban', 'person_name', 'position', 'inn', 'address', 'bank_name', 'bic_swift', 'bank_account', 'person_name', 'position']) as entity_type,
+unnest(['lender', 'lender', 'lender', 'lender', 'lender', 'lender', 'lender', 'borrower', 'borrower', 'borrower', 'borrower', 'borrower', 'borrower', 'borrower']) as role from customer""")
+def party_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = synth.lines(spark, sf_dir, per_customer=True)
+    entities = cut(resolve.resolve(cut(engine.extract(lines)))[0])
+    grouped = cut(link.groups(entities, lines))
+    return link.assign(entities, grouped).filter("not ambiguous").join(entities.select("doc_id", "id", "entity_type"), ["doc_id", "id"]).select("doc_id", "entity_type", "role")
+
+
+@query("""select c_custkey as doc_id, 'left_column' as region, 1 as codes, 1 as accounts from customer union all select c_custkey, 'right_column', 1, 1 from customer""")
+def party_bank_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir)["bank_blocks"].select("doc_id", "region", (F.size("bik_ids") + F.size("bic_swift_ids")).alias("codes"), (F.size("iban_ids") + F.size("bank_account_ids")).alias("accounts"))
+
+
+@query("""with b as (select user_id, event_id, ts from events where event_type = (select min(event_type) from events)), d as (select user_id, event_id, ts from events where event_type <> (select min(event_type) from events))
+select d.event_id, coalesce(b.event_id, f.event_id) as block from d asof left join (select user_id, ts, max(event_id) as event_id from b group by all) b on d.user_id = b.user_id and d.ts >= b.ts left join (select user_id, arg_min(event_id, (ts, event_id)) as event_id from b group by user_id) f on d.user_id = f.user_id""")
+def blocks_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The as-of join of bank blocks on events: every event goes to the user's last event of the first kind before it, else to the first one."""
+    events = table(spark, sf_dir, "events")
+    first = events.agg(F.min("event_type").alias("head"))
+    from pyspark.sql.window import Window
+
+    tagged = events.join(F.broadcast(first), events["event_type"] == first["head"], "left")
+    head = F.when(F.col("head").isNotNull(), F.col("event_id"))
+    user = Window.partitionBy("user_id")
+    above = user.orderBy(F.col("ts"), F.col("head").isNull().cast("int"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    opening = F.min_by(head, F.when(head.isNotNull(), F.struct("ts", "event_id"))).over(user)
+    return tagged.withColumn("block", F.coalesce(F.last(head, ignorenulls=True).over(above), opening)).filter("head is null").select("event_id", "block")
+
+
+@query("""select c_custkey as doc_id, 'Иванов И.И' as name, 'директор' as position, round((0.20 + 0.40 + 0.25 + 0.098 + 0.25 + 0.50 + 0.098) / 2, 6) as confidence from customer
+union all select c_custkey, 'Асанов Б.К', 'директор', round((0.20 + 0.40 + 0.25 + 0.093 + 0.25 + 0.50 + 0.093) / 2, 6) from customer""")
+def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _run(spark, sf_dir)
+    value = lambda kind, name: found["entities"].filter(f"entity_type = '{kind}'").select("doc_id", F.col("id").alias(f"{name}_id"), F.col("value").alias(name))
+    return found["representatives"].join(value("person_name", "name"), ["doc_id", "name_id"]).join(value("position", "position"), ["doc_id", "position_id"]).select("doc_id", "name", "position", _six("confidence"))
+
+
+@query("select c_custkey as doc_id, 'iin' as entity_type, lpad(cast(c_nationkey + 7 as varchar), 12, '0') as value from customer")
+def unassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir)["unassigned"].select("doc_id", "entity_type", "value")
+
+
+@query("""select c_custkey as doc_id, 'loan_agreement' as type, strftime(date '1995-01-01' + cast(c_custkey % 2000 as int), '%Y-%m-%d') as contract_date, printf('%.2f', abs(c_acctbal)) as principal_amount, cast(c_custkey % 20 + 1 as varchar) as rate, strftime(date '1995-01-01' + cast(c_custkey % 2000 as int) + 365, '%Y-%m-%d') as due from customer""")
+def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = resolve.resolve(cut(engine.extract(synth.lines(spark, sf_dir, per_customer=True))))[0]
+    v = lambda c, name: F.col(c)["value"].alias(name)
+    return summary.document_summary(entities).select("doc_id", "type", v("contract_date", "contract_date"), v("principal_amount", "principal_amount"), v("annual_interest_rate", "rate"), v("repayment_due_date", "due"))
+
+
+@query(f"select c_custkey as doc_id, 21::bigint as entity_count, 'success_with_warnings' as status, case when {_GOOD.format('c_custkey')} then 1 else 2 end as warnings from customer")
+def result_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir)["results"].select("doc_id", "entity_count", "status", F.size("warnings").alias("warnings"))
+
+
+@query("""select c_custkey as doc_id, 'loan_agreement' as type, 21 as entities, 2 as parties, 'lender' as first_role from customer""")
+def production_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _run(spark, sf_dir)
+    out = summary.production(found["entities"], found["parties"], found["summary"])
+    get = lambda p: F.get_json_object("result", p)
+    return out.select("doc_id", get("$.document.type").alias("type"), F.size(F.map_keys(F.from_json(get("$.entity_registry"), "map<string,string>"))).alias("entities"), F.json_array_length(get("$.parties")).alias("parties"), get("$.parties[0].role").alias("first_role"))
+
+
+@query("""select 'owner' as by, 'none' as key, count(*) * 5 as n from customer union all select 'owner', 'lender', count(*) * 8 from customer union all select 'owner', 'borrower', count(*) * 8 from customer union all select 'page', '1', count(*) * 21 from customer
+union all select 'type', t, count(*) * k from customer, (values ('date', 2), ('money_amount', 1), ('percentage', 1), ('organization', 2), ('bank_name', 2), ('position', 2), ('person_name', 2), ('address', 2), ('bin', 1), ('iin', 1), ('inn', 1), ('bik', 1), ('bic_swift', 1), ('iban', 1), ('bank_account', 1)) v(t, k) group by t, k""")
+def annotation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _run(spark, sf_dir)
+    counted = summary.annotation_counts(summary.annotation(found["entities"], found["parties"]))
+    by = F.when(F.col("type").isNotNull(), "type").when(F.col("page").isNotNull(), "page").otherwise("owner")
+    return counted.select(by.alias("by"), F.coalesce("type", F.col("page").cast("string"), "owner").alias("key"), "n")
+
+
+@query("select c_custkey as doc_id, 1 as lowest, 21 as highest, 'date' as first_type from customer")
+def annotation_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _run(spark, sf_dir)
+    drawn = summary.annotation(found["entities"], found["parties"])
+    return drawn.groupBy("doc_id").agg(F.min("number").alias("lowest"), F.max("number").alias("highest"), F.min_by("type", "number").alias("first_type"))
+
+
+@query("""with d as (select o_custkey as job_id, case o_orderstatus when 'F' then 'completed' when 'O' then 'failed' else 'partially_completed' end as status from orders)
+select job_id, case when bool_and(status = 'completed') then 'completed' when bool_and(status = 'failed') then 'failed' else 'partially_completed' end as status, count(*) as documents from d group by job_id""")
+def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "failed").otherwise("partially_completed")
+    return summary.job_status(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), status.alias("status")))
+
+
+@query("select o_orderkey as job_id from orders where o_orderdate < timestamp '1998-01-02 00:00:00' - interval 24 hours")
+def job_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("updated_at"))
+    return summary.expired(jobs, F.to_timestamp(F.lit("1998-01-02 00:00:00")), 24).select("job_id")

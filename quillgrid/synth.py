@@ -60,8 +60,15 @@ def words(orders: DataFrame) -> DataFrame:
     return some.select("doc_id", F.lit(1).alias("page"), "region", "line_no", word_struct(index, F.col("t"), F.lit(""), 0.90 + 0.01 * (F.col("line_no") % 10), box).alias("word"))
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One agreement per customer, with the columns of an order."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.select(F.col("c_custkey").alias("o_orderkey"), F.col("c_nationkey").cast("long").alias("o_custkey"), F.expr("cast(date_add(date'1995-01-01', cast(c_custkey % 2000 as int)) as timestamp)").alias("o_orderdate"), F.abs("c_acctbal").alias("o_totalprice"))
+
+
+def lines(spark: SparkSession, sf_dir: str, per_customer: bool = False) -> DataFrame:
+    """Lines of one agreement per order, or per customer."""
     from .operators import layout
 
-    rendered = words(spark.read.parquet(f"{sf_dir}/orders.parquet"))
-    return layout.assemble(rendered.withColumnRenamed("line_no", "cluster"))
+    base = customers(spark, sf_dir) if per_customer else spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return layout.assemble(words(base).withColumnRenamed("line_no", "cluster"))
