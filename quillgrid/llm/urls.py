@@ -130,13 +130,16 @@ def threshold(bins: list[tuple[bool, int, int]]) -> float:
     good, bad = (sum(n for ok, _, n in bins if ok is want) for want in (True, False))
     if not good or not bad:
         return -np.inf
-    best, found = 0.0, -np.inf
+    best, first, last = 0.0, -np.inf, -np.inf
     for edge in sorted({b for _, b, _ in bins} | {b + 1 for _, b, _ in bins}):
         lost = sum(n for ok, b, n in bins if ok and b < edge)
         caught = sum(n for ok, b, n in bins if not ok and b < edge)
-        if lost <= LOSS * good and caught / bad - lost / good > best:
-            best, found = caught / bad - lost / good, edge * BIN
-    return found
+        gain = caught / bad - lost / good
+        if lost <= LOSS * good and gain > best:
+            best, first = gain, edge
+        if lost <= LOSS * good and gain == best and best > 0:
+            last = edge
+    return (first + last) / 2 * BIN  # the middle of the edges that separate equally well
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
