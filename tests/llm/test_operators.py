@@ -157,6 +157,31 @@ def test_url_filter(spark):
     assert sum(r.verdict == "allow" for r in net("fr")) > 50
 
 
+def test_url_scores_are_those_of_exact_counts(spark):
+    rng = random.Random(9)
+    made = [f"http://x.{tld}/{''.join(rng.choice(letters) for _ in range(60))}" for tld, letters in (("org", "abcdefghijklmnop"), ("com", "klmnopqrstuvwxyz"), ("net", "abcdefghijklmnop")) for _ in range(400)] + ["http://x.org/1😀", "", None]
+    some = [urls.Rule("allow", "org", "/"), urls.Rule("block", "com", "/")]
+    pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string").repartition(3)
+    got = {r.page_id: r for r in urls.judge(pages, some).collect()}
+    held = {r.page_id for r in pages.selectExpr("page_id", f"pmod(xxhash64(url), {urls.HELD_OUT}) = 0 as held").collect() if r.held}
+    text = [re.sub("[0-9]", "0", (u or "").split("://")[-1]).encode() for u in made]
+    grams = lambda t: [[(tuple(t[j] if j >= 0 else -1 for j in range(i - k, i)), t[i]) for k in range(urls.ORDER + 1)] for i in range(len(t))]
+    seen, hit = collections.Counter(), collections.Counter()
+    for i, t in enumerate(text):
+        if got[i].rule and i not in held:
+            for c, b in (x for g in grams(t) for x in g):
+                seen[got[i].verdict, c] += 1
+                hit[got[i].verdict, c, b] += 1
+    for i, t in enumerate(text):
+        total = 0.0
+        for g in grams(t):
+            p = {"allow": 1 / 256, "block": 1 / 256}
+            for c, b in g:
+                p = {v: (hit[v, c, b] + urls.STRENGTH * p[v]) / (seen[v, c] + urls.STRENGTH) for v in p}
+            total += np.log(p["allow"]) - np.log(p["block"])
+        assert abs(got[i].score - total / max(len(t), 1)) < 2e-6
+
+
 def test_bpe_round_trip(docs, rows):
     from tokenizers import Tokenizer
 
