@@ -2,16 +2,20 @@
 
 Base spans (email, ip, card, phone) are pattern matches that pass their checks.  Beside
 them high-recall generators propose spans, which may overlap: written-out email
-addresses, and digit groups as telephone or card numbers.  A candidate's features are
-its format (digits, groups, separators, brackets, Luhn sum) and its context (words in
-front of it, characters around it).  Gradient-boosted depth-2 trees, one model for each
+addresses, and as telephone or card numbers every stretch of whole digit groups of a
+run that has their digits, however long the run is.  A candidate's features are its
+format (digits, groups, separators, brackets, Luhn sum) and its context (words in front
+of its run, characters around it).  Gradient-boosted depth-2 trees, one model for each
 kind, score them; the score is a CASE expression.  A candidate is accepted above the
 threshold that keeps a precision of ``PRECISION`` on held-out examples, and if it does
-not overlap a base span.
+not overlap a base span; of accepted numbers that overlap, the one furthest above its
+threshold stays.
 
-The models are trained on ``EXAMPLES`` rendered candidates per kind (a bounded sample,
+The models are trained on ``EXAMPLES`` rendered examples per kind (a bounded sample,
 half of it held out for calibration), which go through the same feature expressions as
-documents; boosting itself runs over their distinct feature vectors.
+documents; boosting itself runs over their distinct feature vectors.  Numbers stand in
+the examples beside other numbers too, and of the stretches that the generator proposes
+there only the whole numbers are positive.
 
 Defined cases: null and empty texts have no spans; repeated rows and null ids each get
 their row; an empty table gives an empty result; other columns play no part.  Patterns
@@ -41,8 +45,10 @@ PATTERNS = {
 #: Generators of candidates.
 GENERATORS = {
     "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[]\x20?at\x20?[)\]]\x20?[A-Za-z0-9-]{1,64}+\x20?(?:\.|[(\[]\x20?dot\x20?[)\]])\x20?[A-Za-z]{2,24}+",
-    "number": r"(?<![0-9A-Za-z])(?:\+|\()?[0-9][\x20().0-9/-]{5,40}(?<=[0-9])(?![0-9A-Za-z])",
+    "number": r"[0-9][\x20().0-9/-]*+",  # a run, of which stretches of whole groups are proposed
 }
+#: Digits of a proposed number, by kind.
+DIGITS = {"card": (13, 19), "phone": (9, 15)}
 #: Words in front of a candidate that tell of its kind.
 CONTEXT = {
     "phone": r"(?i)\b(?:tel|telephone|phone|call|fax|mobile|cell|telefon|téléphone|teléfono|appelez|anruf)\b",
@@ -116,14 +122,54 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)]))
 
 
-def features(v: Column, front: Column, back: Column) -> dict[str, Column]:
-    """Format and context of a candidate: its text, some characters in front of it, and the one after it."""
+def numbers(text: Column, base: Column | None = None) -> Column:
+    """array<array<struct<s, e, v, front, left, back>>>: for each run of digit groups every stretch of whole groups with the digits of a number, but those that overlap ``base``.
+
+    ``front`` stands before the run, ``left`` and ``back`` before and after the stretch, which takes a plus sign or bracket before it along.
+    """
+    least, most = min(a for a, _ in DIGITS.values()), max(b for _, b in DIGITS.values())
+    before = lambda v, end: F.substring(v, F.greatest(end - _FRONT, F.lit(0)) + 1, F.least(end, F.lit(_FRONT)))
+    kind = "array<struct<s:int,e:int,v:string,front:string,left:string,back:string>>"
+
+    def of_run(r: Column) -> Column:
+        front = before(text, r["s"])
+        around = F.concat(front, r["v"], F.substring(text, r["e"] + 1, F.lit(2)))
+        made = F.struct(front.alias("front"), around.alias("t"), F.length(front).alias("f"), r["s"].alias("s"), find(r["v"], "[0-9]++").alias("groups"))
+        return let(made, lambda x: F.flatten(F.transform(x["groups"], lambda g, i: of_group(x, g, i))))
+
+    def of_group(x: Column, g: Column, i: Column) -> Column:
+        def step(acc: Column, y: Column) -> Column:
+            n = acc["n"] + F.length(y["v"])
+            return F.struct(n.alias("n"), F.when(n.between(least, most), F.concat(acc["o"], F.array(y["e"]))).otherwise(acc["o"]).alias("o"))
+
+        ends = F.aggregate(F.slice(x["groups"], i + 1, F.lit(most)), F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("o")), step, lambda acc: acc["o"])
+        left = before(x["t"], x["f"] + g["s"])
+        signed = left.rlike(r"(?:^|[^0-9A-Za-z])[+(]$").cast("int")
+        made = F.struct(ends.alias("ends"), (g["s"] - signed).alias("s"), left.rlike("[0-9A-Za-z]$").alias("inside"))
+        return let(made, lambda m: F.when(m["inside"] | (F.size(m["ends"]) == 0), F.array().cast(kind)).otherwise(stretches(x, m)))
+
+    def stretches(x: Column, m: Column) -> Column:
+        def one(e: Column) -> Column:
+            cut_ = lambda a, n: F.substring(x["t"], x["f"] + a + 1, n)
+            return F.struct((x["s"] + m["s"]).alias("s"), (x["s"] + e).alias("e"), cut_(m["s"], e - m["s"]).alias("v"), x["front"].alias("front"), before(x["t"], x["f"] + m["s"]).alias("left"), cut_(e, F.lit(2)).alias("back"))
+
+        free = lambda y: ~y["back"].rlike("^[0-9A-Za-z]") & (F.lit(True) if base is None else ~F.exists(base, lambda b: (y["s"] < b["e"]) & (b["s"] < y["e"])))
+        return F.filter(F.transform(m["ends"], one), free)
+
+    runs = F.filter(find(text, GENERATORS["number"]), lambda r: F.length(_digits(r["v"])) >= least)
+    return F.transform(runs, of_run)
+
+
+def features(v: Column, front: Column, left: Column, back: Column) -> dict[str, Column]:
+    """Format and context of a candidate: its text, characters in front of it (of its run) and just before it, and some after it."""
     n = lambda pattern: (F.length(v) - F.length(F.regexp_replace(v, pattern, "")))
     groups = F.filter(F.split(v, "[^0-9]+"), lambda g: g != "")
+    between = F.filter(F.split(v, "[0-9]+"), lambda g: ~g.isin("", "(", "+"))
     return {
         "digits": n("[0-9]"),
         "groups": F.size(groups),
         "longest": F.coalesce(F.array_max(F.transform(groups, lambda g: F.length(g))), F.lit(0)),
+        "first": F.length(F.coalesce(F.element_at(F.concat(groups, F.array(F.lit(""))), 1), F.lit(""))),
         "last": F.length(F.coalesce(F.element_at(F.concat(F.array(F.lit("")), groups), -1), F.lit(""))),
         "spaces": n(r"\x20"),
         "dashes": n("-"),
@@ -131,9 +177,13 @@ def features(v: Column, front: Column, back: Column) -> dict[str, Column]:
         "slashes": n("/"),
         "brackets": n(r"[()\[\]]"),
         "plus": n(r"\+"),
+        "separators": F.size(F.array_distinct(between)),
         "luhn": F.when(n("[0-9]").between(14, 19), luhn(_digits(v)).cast("int")).otherwise(0),
+        "issuer": _digits(v).rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)").cast("int"),  # how card numbers begin
         "year": v.rlike(r"\b(?:19|20)[0-9]{2}\b").cast("int"),
-        "odd_edge": (front.rlike(r"""[0-9A-Za-z"'=#$€._/-]$""") | back.rlike(r"""^[0-9A-Za-z"'%€$/-]""")).cast("int"),
+        "odd_edge": (left.rlike(r"""[0-9A-Za-z"'=#$€._/-]$""") | back.rlike(r"""^[0-9A-Za-z"'%€$/-]""")).cast("int"),
+        "number_before": left.rlike(r"[0-9][\x20()]$").cast("int"),
+        "number_after": back.rlike(r"^[\x20()][0-9(]").cast("int"),
         "phone_word": front.rlike(CONTEXT["phone"]).cast("int"),
         "card_word": front.rlike(CONTEXT["card"]).cast("int"),
         "mail_word": front.rlike(CONTEXT["email"]).cast("int"),
@@ -141,35 +191,61 @@ def features(v: Column, front: Column, back: Column) -> dict[str, Column]:
 
 
 def _examples(spark: SparkSession, kind: str) -> DataFrame:
-    """Rendered candidates: v, front, back, label, held; a fixed sample drawn by hashing row numbers."""
+    """Rendered candidates: id, s, e, v, front, left, back, label, held; a fixed sample drawn by hashing row numbers."""
     rows = spark.range(EXAMPLES)
     pick = lambda salt, n: F.pmod(F.xxhash64(F.col("id"), F.lit(f"{kind}{salt}")), F.lit(n)).cast("int")
-    d = lambda salt, n: F.lpad(F.pmod(F.xxhash64(F.col("id"), F.lit(f"{kind}d{salt}")), F.lit(10**n)).cast("string"), n, "0")
     one = lambda salt, options: F.element_at(F.array(*[o if isinstance(o, Column) else F.lit(o) for o in options]), pick(salt, len(options)) + 1)
     check = lambda body: F.concat(body, F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: x.cast("string")), lambda x: luhn(F.concat(body, x))), 1))
-    good_card = check(F.concat(one("bin", ["4", "51", "55", "37"]), d(1, 7), d(2, 6)))
     grouped = lambda c, sep: F.concat_ws(sep, F.substring(c, 1, 4), F.substring(c, 5, 4), F.substring(c, 9, 4), c.substr(F.lit(13), F.lit(8)))
     word = one("w", ["the ", "order ", "of ", "no ", "ref: ", "and ", "id=", 'token = "', "total $", "version "])
-    phone = one("pf", [F.concat(F.lit("("), d(1, 3), F.lit(") "), d(2, 3), F.lit("-"), d(3, 4)), F.concat_ws("-", d(1, 3), d(2, 3), d(3, 4)), F.concat_ws(" ", F.concat(F.lit("0"), d(1, 2)), d(2, 2), d(3, 2), d(4, 2), d(5, 2)), F.concat_ws(".", d(1, 3), d(2, 3), d(3, 4))])
-    other = one(
-        "nf",
-        [
-            F.concat_ws("-", F.concat(F.lit("20"), d(1, 2)), d(2, 2), d(3, 2)), F.concat_ws("/", d(1, 2), d(2, 2), F.concat(F.lit("19"), d(3, 2))), F.concat_ws(".", d(1, 1), d(2, 2), d(3, 1), d(4, 4)), d(1, 9), d(1, 12), d(1, 16),
-            F.concat_ws(" ", d(1, 1), d(2, 3), d(3, 3)), F.concat_ws(".", d(1, 3), d(2, 3), d(3, 3), d(4, 3)), F.concat_ws("-", d(1, 4), d(2, 5)), F.concat_ws(" ", d(1, 4), d(2, 4), d(3, 4), d(4, 4)), F.concat_ws("-", d(1, 3), d(2, 1), d(3, 2), d(4, 6), d(5, 1)),
-        ],
-    )
-    if kind == "phone":
-        yes, clue = phone, one("c", ["tel ", "phone: ", "call ", "fax ", "mobile "])
-    elif kind == "card":
-        yes, clue = one("cf", [good_card, grouped(good_card, " "), grouped(good_card, "-"), F.concat(good_card.substr(F.lit(1), F.lit(11)), d(3, 4)), F.concat_ws(".", good_card.substr(F.lit(1), F.lit(4)), good_card.substr(F.lit(5), F.lit(4)), good_card.substr(F.lit(9), F.lit(4)), good_card.substr(F.lit(13), F.lit(8)))]), one("c", ["card ", "visa ", "credit card: ", "debit "])
-    else:
-        name = F.concat(one("n", ["jo", "ana", "k.lee", "info"]), F.when(pick("nd", 2) == 1, d(1, 2)).otherwise(""))
-        yes = one("ef", [F.concat(name, F.lit(" (at) site"), d(2, 2), F.lit(" (dot) org")), F.concat(name, F.lit("[at]mail"), d(2, 2), F.lit("[dot]com")), F.concat(name, F.lit(" (at) host.net"))])
-        other, clue = F.concat(one("x", ["look (at) this.", "meet (at) noon.", "is (at) home."]), one("y", ["the", "so", "we"])), one("c", ["e-mail: ", "contact ", "write ", "mail "])
     positive = pick("label", 2) == 1
-    front = F.when(positive, F.when(pick("clue", 10) < 8, clue).otherwise(word)).otherwise(F.when(pick("clue", 10) < 1, clue).otherwise(word))
-    back = F.when(front.endswith('"'), F.lit('"')).otherwise(one("b", [" ", ".", ",", " ", ""]))
-    return rows.select(F.when(positive, yes).otherwise(other).alias("v"), front.alias("front"), back.alias("back"), positive.cast("int").alias("label"), (pick("held", 2) == 1).alias("held"))
+    held = (pick("held", 2) == 1).alias("held")
+
+    def framed(clue: Column) -> tuple[Column, Column]:
+        front = F.when(positive, F.when(pick("clue", 10) < 8, clue).otherwise(word)).otherwise(F.when(pick("clue", 10) < 1, clue).otherwise(word))
+        return front, F.when(front.endswith('"'), F.lit('"')).otherwise(one("b", [" ", ".", ",", " ", ""]))
+
+    def made(place: str, formats: str) -> tuple[Column, Column, Column, Column]:
+        """A card number, a telephone number, another number, and one of those that often stand beside numbers; formats are drawn by a salt of their own."""
+        d = lambda salt, n: F.lpad(F.pmod(F.xxhash64(F.col("id"), F.lit(f"{kind}{place}d{salt}")), F.lit(10**n)).cast("string"), n, "0")
+        good = check(F.concat(one(f"{place}bin", ["4", "51", "55", "37", d(9, 2)]), d(1, 7), d(2, 6)))
+        card = one(f"{formats}cf", [good, grouped(good, " "), grouped(good, "-"), F.concat(good.substr(F.lit(1), F.lit(11)), d(3, 4)), grouped(good, ".")])
+        phone = one(f"{formats}pf", [F.concat(F.lit("("), d(1, 3), F.lit(") "), d(2, 3), F.lit("-"), d(3, 4)), F.concat_ws("-", d(1, 3), d(2, 3), d(3, 4)), F.concat_ws(" ", F.concat(F.lit("0"), d(1, 2)), d(2, 2), d(3, 2), d(4, 2), d(5, 2)), F.concat_ws(".", d(1, 3), d(2, 3), d(3, 4))])
+        other = one(
+            f"{formats}nf",
+            [
+                F.concat_ws("-", F.concat(F.lit("20"), d(1, 2)), d(2, 2), d(3, 2)), F.concat_ws("/", d(1, 2), d(2, 2), F.concat(F.lit("19"), d(3, 2))), F.concat_ws(".", d(1, 1), d(2, 2), d(3, 1), d(4, 4)), d(1, 9), d(1, 12), d(1, 16),
+                F.concat_ws(" ", d(1, 1), d(2, 3), d(3, 3)), F.concat_ws(".", d(1, 3), d(2, 3), d(3, 3), d(4, 3)), F.concat_ws("-", d(1, 4), d(2, 5)), F.concat_ws(" ", d(1, 4), d(2, 4), d(3, 4), d(4, 4)), F.concat_ws("-", d(1, 3), d(2, 1), d(3, 2), d(4, 6), d(5, 1)),
+            ],
+        )
+        beside = one(f"{formats}bf", [F.concat_ws("-", F.concat(F.lit("20"), d(6, 2)), d(7, 2), d(8, 2)), F.concat_ws("/", d(6, 2), d(7, 2)), F.concat_ws("/", d(6, 2), d(7, 2), F.concat(F.lit("20"), d(8, 2))), d(6, 3), d(6, 1), F.concat(F.lit("20"), d(6, 2))])
+        return card, phone, other, beside
+
+    if kind == "email":
+        digits = F.lpad(F.pmod(F.xxhash64(F.col("id"), F.lit("emaild1")), F.lit(100)).cast("string"), 2, "0")
+        site = F.lpad(F.pmod(F.xxhash64(F.col("id"), F.lit("emaild2")), F.lit(100)).cast("string"), 2, "0")
+        name = F.concat(one("n", ["jo", "ana", "k.lee", "info"]), F.when(pick("nd", 2) == 1, digits).otherwise(""))
+        yes = one("ef", [F.concat(name, F.lit(" (at) site"), site, F.lit(" (dot) org")), F.concat(name, F.lit("[at]mail"), site, F.lit("[dot]com")), F.concat(name, F.lit(" (at) host.net"))])
+        other = F.concat(one("x", ["look (at) this.", "meet (at) noon.", "is (at) home."]), one("y", ["the", "so", "we"]))
+        front, back = framed(one("c", ["e-mail: ", "contact ", "write ", "mail "]))
+        return rows.select("id", F.lit(0).alias("s"), F.lit(1).alias("e"), F.when(positive, yes).otherwise(other).alias("v"), front.alias("front"), front.alias("left"), back.alias("back"), positive.cast("int").alias("label"), held)
+
+    mine = ("card", "phone").index(kind)
+    clue = one("c", ["card ", "visa ", "credit card: ", "debit "] if kind == "card" else ["tel ", "phone: ", "call ", "fax ", "mobile "])
+    front, back = framed(clue)
+    middle, twin, beside = made("", ""), made("second", ""), made("beside", "beside")
+    number = F.when(positive, middle[mine]).when(pick("mixed", 4) == 0, middle[1 - mine]).otherwise(middle[2])
+    # a third stands alone, a third after or before a number of the same form, a third after or before one that often stands beside numbers
+    like = F.when(positive, twin[mine]).otherwise(twin[2])
+    side = F.when(pick("side", 3) == 1, like).otherwise(beside[3])
+    lead, tail = (pick("side", 3) > 0) & (pick("place", 3) == 0), (pick("side", 3) > 0) & (pick("place", 3) > 0)
+    at = F.length(front) + F.when(lead, F.length(side) + 1).otherwise(0)
+    text = F.concat(front, F.when(lead, F.concat(side, F.lit(" "))).otherwise(""), number, F.when(tail, F.concat(F.lit(" "), side)).otherwise(""), back)
+    second = F.when(lead, F.length(front)).otherwise(at + F.length(number) + 1)
+    truth = F.when(positive, F.array(F.struct(at.alias("s"), (at + F.length(number)).alias("e")), F.struct(F.when(pick("side", 3) == 1, second).otherwise(-1).alias("s"), (second + F.length(side)).alias("e")))).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+    proposed = rows.select("id", text.alias("text"), truth.alias("truth"), held).select("id", F.explode(F.flatten(numbers(F.col("text")))).alias("x"), "truth", "held")
+    label = F.exists("truth", lambda t: (t["s"] == F.col("x.s")) & (t["e"] == F.col("x.e"))).cast("int").alias("label")
+    return proposed.select("id", "x.s", "x.e", "x.v", "x.front", "x.left", "x.back", label, "held").filter(F.length(_digits(F.col("v"))).between(*DIGITS[kind]))
 
 
 def _boost(rows: list[tuple[tuple[int, ...], int, int]]) -> list[tuple]:
@@ -235,13 +311,20 @@ def model(spark: SparkSession, kind: str) -> tuple[list[str], list[tuple], float
     """Feature names, trees and threshold of a kind; trained once in a process, always alike."""
     if kind not in _MODELS:
         sample = _examples(spark, kind)
-        made = features(F.col("v"), F.col("front"), F.col("back"))
+        made = features(F.col("v"), F.col("front"), F.col("left"), F.col("back"))
         names = list(made)
-        rows = sample.select(*[c.cast("int").alias(n) for n, c in made.items()], "label", "held").groupBy(*names, "held").agg(F.sum("label").alias("yes"), F.sum(1 - F.col("label")).alias("no")).collect()  # at most EXAMPLES rows
-        rows.sort()
-        vectors = [(tuple(r[n] for n in names), r["yes"], r["no"]) for r in rows]
-        trees = _boost([v for v, r in zip(vectors, rows, strict=True) if not r["held"]])
-        scored = sorted(((_apply(trees, v[0]), v[1], v[2]) for v, r in zip(vectors, rows, strict=True) if r["held"]), reverse=True)
+        rows = sample.select(*[c.cast("int").alias(n) for n, c in made.items()], "label", "held", "id", "s", "e").collect()  # the proposals of EXAMPLES short texts
+        counts: dict[tuple[int, ...], list[int]] = {}
+        for r in rows:
+            if not r["held"]:
+                counts.setdefault(tuple(r[n] for n in names), [0, 0])[1 - r["label"]] += 1
+        trees = _boost([(v, *c) for v, c in sorted(counts.items())])
+        ranked = sorted((-_apply(trees, tuple(r[n] for n in names)), r["s"] - r["e"], r["s"], r["id"], r["e"], r["label"]) for r in rows if r["held"])
+        scored, taken = [], {}
+        for m, _, s, i, e, label in ranked:  # of numbers that overlap only the chosen one counts, as in documents
+            if all(e <= a or b <= s for a, b in taken.setdefault(i, [])):
+                taken[i].append((s, e))
+                scored.append((-m, label, 1 - label))
         yes = no = 0
         limit = math.inf
         for i, (score, a, b) in enumerate(scored):
@@ -252,37 +335,56 @@ def model(spark: SparkSession, kind: str) -> tuple[list[str], list[tuple], float
     return _MODELS[kind]
 
 
-def _accepts(spark: SparkSession, kind: str, made: dict[str, Column]) -> Column:
+def _margin(spark: SparkSession, kind: str, made: dict[str, Column]) -> Column:
+    """How far a candidate's score is above the threshold; accepted from 0."""
     names, trees, limit = model(spark, kind)
     at = lambda f, c: made[names[f]] >= c
     score = F.lit(0.0)
     for f0, c0, f1, c1, f2, c2, a, b, c, d in trees:
         score = score + F.when(at(f0, c0), F.when(at(f2, c2), d).otherwise(c)).otherwise(F.when(at(f1, c1), b).otherwise(a))
-    return score >= F.lit(limit)
+    return score - F.lit(limit)
+
+
+def _apart(found: Column) -> Column:
+    """Of accepted candidates struct<m, s, k, e> those left when the one with the greatest margin (then length, then the first) is taken again and again, and what overlaps it goes."""
+    ranked = F.array_sort(F.transform(found, lambda x: F.struct((-x["m"]).alias("m"), (x["s"] - x["e"]).alias("n"), x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(F.exists(acc, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])), acc).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))))
+
+    return F.aggregate(ranked, F.array().cast("array<struct<s:int,k:int,e:int>>"), step)
+
+
+def extra_spans(spark: SparkSession, text: Column, base: Column) -> Column:
+    """Accepted candidates, as base_spans has them; a number may stand as several kinds, of which the first in the list wins."""
 
+    def judged(x: Column, kinds: tuple[str, ...]) -> Column:
+        made = features(x["v"], x["front"], x["left"], x["back"])
 
-def extra_spans(spark: SparkSession, text: Column) -> Column:
-    """Accepted candidates, as base_spans has them; a candidate may stand as several kinds, of which the first in the list wins."""
-    def of(generator: str, kinds: tuple[str, ...]) -> Column:
-        def judged(x: Column) -> Column:
-            front = F.substring(text, F.greatest(x["s"] - _FRONT, F.lit(0)) + 1, F.least(x["s"], F.lit(_FRONT)))
-            made = features(x["v"], front, F.substring(text, x["e"] + 1, F.lit(1)))
-            names = list(made)
+        def which(m: Column) -> Column:
+            shaped = lambda d, k: F.struct(d.alias("m"), x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))
+            either = lambda k, other: lambda d: F.when(d >= 0, shaped(d, k)).otherwise(other)
+            got = shaped(F.lit(-1.0), -1)
+            for kind in reversed(kinds):
+                shape = m["digits"].between(*DIGITS[kind]) if kind in DIGITS else F.lit(True)
+                margin = F.when(shape, _margin(spark, kind, {n: m[n] for n in made})).otherwise(-1.0)
+                got = let(margin, either(KINDS.index(kind), got))
+            return got
 
-            def which(m: Column) -> Column:
-                got = F.lit(-1)
-                for kind in reversed(kinds):
-                    shape = m["digits"].between(13, 19) if kind == "card" else m["digits"].between(9, 15) if kind == "phone" else F.lit(True)
-                    got = F.when(shape & _accepts(spark, kind, {n: m[n] for n in names}), KINDS.index(kind)).otherwise(got)
-                return F.struct(x["s"].alias("s"), got.alias("k"), x["e"].alias("e"))
+        return let(F.struct(*[c.cast("int").alias(n) for n, c in made.items()]), which)
 
-            return let(F.struct(*[c.cast("int").alias(n) for n, c in made.items()]), which)
+    def accepted(some: Column, kinds: tuple[str, ...]) -> Column:
+        return F.filter(F.transform(some, lambda x: judged(x, kinds)), lambda x: x["k"] >= 0)
 
-        found = F.filter(F.transform(find(text, GENERATORS[generator]), judged), lambda x: x["k"] >= 0)
-        quick = text.rlike(r"(?i)[(\[]\x20?at\x20?[)\]]") if generator == "email" else text.rlike("[0-9]")
-        return F.when(quick, found).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))
+    def mail(x: Column) -> Column:
+        front = F.substring(text, F.greatest(x["s"] - _FRONT, F.lit(0)) + 1, F.least(x["s"], F.lit(_FRONT)))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), front.alias("front"), front.alias("left"), F.substring(text, x["e"] + 1, F.lit(1)).alias("back"))
 
-    return F.concat(of("email", ("email",)), of("number", ("card", "phone")))
+    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    mails = accepted(F.transform(find(text, GENERATORS["email"]), mail), ("email",))
+    shaped = F.transform(mails, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    counted = F.flatten(F.transform(numbers(text, base), lambda run: _apart(accepted(run, ("card", "phone")))))
+    return F.concat(F.when(text.rlike(r"(?i)[(\[]\x20?at\x20?[)\]]"), shaped).otherwise(none), F.when(text.rlike("[0-9]"), counted).otherwise(none))
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,7 +395,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def _with_spans(docs: DataFrame, text_col: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    found = docs.withColumn(base, base_spans(text)).withColumn(spans, extra_spans(spark, text))
+    found = docs.withColumn(base, base_spans(text)).withColumn(spans, extra_spans(spark, text, F.col(base)))
     clear = F.filter(spans, lambda x: ~F.exists(base, lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"])))
     return found.withColumn(spans, F.array_sort(F.concat(F.col(base), clear)))
 

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillgrid.llm import bpe, decontam, html, neardup, packing, pii, quality, substring, tokencount, urls
 from quillgrid.llm.queries import URL_RULES, tokenizer_file
@@ -137,6 +138,37 @@ def test_pii_base_spans_and_redaction(spark, docs, rows):
     assert red == {1: "mail [EMAIL], [PHONE]!", 2: None, 3: "x"}
 
 
+def test_pii_numbers_that_touch(spark):
+    cases = {
+        "pay 4845168114407329 4845168114407329": ["4845168114407329"] * 2,
+        "card 7536784127813050 4845168114407329": ["7536784127813050", "4845168114407329"],
+        "card 4111 1111 1111 1111 12/26": ["4111 1111 1111 1111"],
+        "tel 415-555-2671 2024-05-01": ["415-555-2671"],
+        "call 415-555-2671 415-555-2672 (415) 555-2673": ["415-555-2671", "415-555-2672", "(415) 555-2673"],
+        "order 2024-05-01 2024-06-01": [],
+        "id=1 2 3 4 5 6 7 8 9 10 11 12 13 14 15": [],
+    }
+    got = {r.text: [r.text[x.s : x.e] for x in r.spans] for r in pii._with_spans(spark.createDataFrame([(t,) for t in cases], "text string")).collect()}
+    assert got == cases
+
+
+def test_pii_numbers_are_all_proposed(spark):
+    rng = random.Random(4)
+    parts = ["1", "22", "4444", "55555", "9876543210", " ", "-", ".", " (", ") ", "+", "/", "a", "é", "  "]
+    some = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(400)]
+    for r in spark.createDataFrame([(t,) for t in some], "text string").select("text", pii.numbers(F.col("text")).alias("runs")).collect():
+        want = set()
+        for run in re.finditer(r"[0-9][ ().0-9/-]*", r.text):
+            groups = [(run.start() + g.start(), run.start() + g.end()) for g in re.finditer("[0-9]+", run[0])]
+            for i, (s, _) in enumerate(groups):
+                start = s - bool(re.search(r"(^|[^0-9A-Za-z])[+(]$", r.text[:s]))
+                for _, e in groups[i:]:
+                    if 9 <= len(re.sub("[^0-9]", "", r.text[s:e])) <= 19 and not re.search("[0-9A-Za-z]$", r.text[:start]) and not re.match("[0-9A-Za-z]", r.text[e:]):
+                        want.add((start, e, r.text[start:e]))
+        found = [(x.s, x.e, x.v) for run in r.runs for x in run]
+        assert set(found) == want and len(found) == len(want)
+
+
 def test_url_filter(spark):
     rng = random.Random(5)
     made = [f"https://h{rng.randrange(9)}.example.{tld}/{lang}/{rng.randrange(999)}" for tld in ("org", "com", "net") for lang in ("en", "de", "fr", "es") for _ in range(60)]
