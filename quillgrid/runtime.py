@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -41,22 +42,35 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured (tests)."""
+    """The shared folder of the cluster; a temporary one where none is configured, in local mode (tests) only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.TemporaryDirectory(prefix="quillgrid-ck-"))
     return _FALLBACK[0].name
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` to the shared folder: later stages do not recompute it if executors are lost."""
+    """Checkpoint ``df`` to the shared folder: later stages do not recompute it if executors are lost.
+
+    Its shuffle files, which nothing reads again, are removed at once.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
