@@ -46,7 +46,6 @@ PIECE, BLOCK = 1 << 19, 12_000_000
 #: White space as the pre-tokenizer sees it (fixed values): U+0009-000D, 0020, 0085, 00A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000.
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
-_BASE = 0xC2B2AE3D27D4EB4F | 1
 
 
 @lru_cache(1)
@@ -174,7 +173,8 @@ class Block:
     """Documents of a partition as positions in a growing list of distinct words."""
 
     def __init__(self, added: dict[str, int]) -> None:
-        self.added, self.words, self.docs, self.size = added, {}, [], 0
+        self.added, self.docs, self.size = added, [], 0
+        self.words: dict[str, int] = {}
 
     def add(self, texts: list[str]) -> None:
         """All of ``texts``; together at most PIECE code points, or one text."""
@@ -185,7 +185,7 @@ class Block:
         joined = "".join(flat)
         self.size += len(joined)
         if not joined:
-            self.docs += [np.zeros(0, U) for _ in texts]
+            self.docs += [np.zeros(0, np.uint32) for _ in texts]
             return
         codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
         lengths = np.fromiter(map(len, flat), np.int64, len(flat))
@@ -197,29 +197,30 @@ class Block:
                 a, b = starts[i], starts[i] + lengths[i]
                 at = at[(at <= a) | (at >= b)]
         stop = np.append(at[1:], len(codes))
-        power, inverse = tb.powers(_BASE, len(codes) + 1)
-        total = np.zeros(len(codes) + 1, dtype=U)
-        np.cumsum((codes.astype(U) + U(1)) * power[: len(codes)], out=total[1:])
-        hashes = tb.mix((total[stop] - total[at]) * inverse[at] ^ (stop - at).astype(U) << U(50))
-        distinct, where = np.unique(hashes, return_index=True)
-        for h, a, b in zip(distinct.tolist(), at[where].tolist(), stop[where].tolist(), strict=True):
-            if h not in self.words:
-                self.words[h] = joined[a:b]
+        values = codes * U(0x9E3779B97F4A7C15)
+        values ^= values >> U(29)
+        hashes = tb.sums(values, at, stop)
+        del values
+        _, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if not tb.equal(codes, at, stop, where, back):  # two words with one hash
+            where = back = np.arange(len(at))
+        words = self.words
+        index = np.fromiter((words.setdefault(joined[a:b], len(words)) for a, b in zip(at[where].tolist(), stop[where].tolist(), strict=True)), np.uint32, len(where))
+        found = index[back]
         bounds = np.searchsorted(at, np.append(starts, len(codes)))
         edges = np.cumsum([0, *counts])
-        self.docs += [hashes[bounds[edges[i]] : bounds[edges[i + 1]]] for i in range(len(texts))]
-
-    def close(self) -> tuple[np.ndarray, list[str], list[np.ndarray]]:
-        """Word hashes by falling frequency, their words, and each document's places in that order."""
-        flat = np.concatenate(self.docs) if self.docs else np.zeros(0, U)
-        hashes, counts = np.unique(flat, return_counts=True)
-        order = np.lexsort((hashes, -counts))
+        self.docs += [found[bounds[edges[i]] : bounds[edges[i + 1]]] for i in range(len(texts))]
+
+    def close(self) -> tuple[list[str], list[np.ndarray]]:
+        """Words by falling frequency, and each document's places in that order."""
+        counts = np.zeros(len(self.words), np.int64)
+        for lo in range(0, len(self.docs), 1024):
+            counts += np.bincount(np.concatenate(self.docs[lo : lo + 1024]), minlength=len(counts))
+        order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        places = rank[np.searchsorted(hashes, flat)]
-        docs = np.split(places, np.cumsum([len(d) for d in self.docs])[:-1]) if self.docs else []
-        ordered = hashes[order]
-        return ordered, [self.words[h] for h in ordered.tolist()], docs
+        listed = list(self.words)
+        return [listed[i] for i in order.tolist()], [rank[d] for d in self.docs]
 
 
 def _pieces(texts: list[str]) -> Iterator[list[int]]:
@@ -268,30 +269,32 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-#: Distinct words are dealt out in so many buckets by hash; a bucket's rows are one for each block that has any.
+#: Distinct words are dealt out by hash in so many buckets, or as many as there are shuffle partitions; a bucket's rows are one for each block that has any.
 BUCKETS = 1024
+#: Words of a bucket whose ids a task remembers; then it starts anew.
+MEMORY = 300_000
 #: Words of documents that travel in one row.
 GROUP = 1 << 16
 _WORDS = "bucket int, block long, n int, places binary, lengths binary, words binary"
 _JOINED = "block long, kind int, n int, places binary, lengths binary, data binary, doc_ids array<long>"
 
 
-def _block_key(partition: int, number: int, order: np.ndarray) -> int:
+def _block_key(partition: int, number: int, words: list[str]) -> int:
     """From where the block lies and what it holds."""
-    seed = partition.to_bytes(4, "big") + number.to_bytes(4, "big")
-    return int.from_bytes(hashlib.blake2b(seed + order.tobytes(), digest_size=8).digest(), "big", signed=True)
+    seed = partition.to_bytes(4, "big") + number.to_bytes(4, "big") + len(words).to_bytes(8, "big")
+    return int.from_bytes(hashlib.blake2b(seed + "\0".join(words).encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def _word_rows(added: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _word_rows(added: dict[str, int], buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of each block the distinct words with their places, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, (block, _, partition) in enumerate(_blocks(batches, added)):
-            order, words, _ = block.close()
-            key = _block_key(partition, number, order)
-            bucket = (order >> U(54)).astype(np.int64) % BUCKETS
+            words, _ = block.close()
+            key = _block_key(partition, number, words)
+            bucket = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % buckets
             by = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[by], np.arange(BUCKETS + 1))
+            edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
             rows = []
             for k in np.flatnonzero(np.diff(edges)).tolist():
                 places = np.sort(by[edges[k] : edges[k + 1]])
@@ -313,8 +316,8 @@ def _doc_rows(added: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, (block, ids, partition) in enumerate(_blocks(batches, added)):
-            order, _, docs = block.close()
-            key, ids = _block_key(partition, number, order), ids.to_pylist()
+            words, docs = block.close()
+            key, ids = _block_key(partition, number, words), ids.to_pylist()
             a = 0
             while a < len(docs):
                 b, size = a + 1, len(docs[a])
@@ -329,7 +332,7 @@ def _doc_rows(added: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
 
 def _encode_words(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by bucket: each word is encoded once, and its ids go to each of its blocks.  Holds one bucket's words."""
+    """Rows sorted by bucket: each word is encoded once, and its ids go to each of its blocks.  Holds words of one bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
@@ -342,7 +345,7 @@ def _encode_words(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     end = np.cumsum(_unpack(lengths, n), dtype=np.int64)
                     flat = zlib.decompress(words)
                     rows.append((bucket, block, n, places, [flat[x:y].decode() for x, y in zip([0, *end.tolist()], end.tolist(), strict=False)]))
-                if rows[0][0] != held:
+                if rows[0][0] != held or len(found) > MEMORY:
                     found = {}
                 fresh = list({w: None for r in rows for w in r[4] if w not in found})
                 found |= {w: np.array(x, dtype=np.uint32) for w, x in zip(fresh, vocab.encode(fresh), strict=True)}
@@ -411,7 +414,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """One row (doc_id, ids) per row: ids as little-endian unsigned 32-bit integers, special strings as the tokenizer takes them."""
     added = vocabulary(path).added
     base = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("part"))  # the scan's own number, also below a union
-    words = map_arrow(base, _word_rows(added), _WORDS)
+    words = map_arrow(base, _word_rows(added, max(BUCKETS, _parts(docs))), _WORDS)
     coded = map_arrow(words.repartition(_parts(docs), "bucket").sortWithinPartitions("bucket"), _encode_words(path), _JOINED)
     placed = map_arrow(base, _doc_rows(added), _JOINED)
     joined = coded.unionByName(placed).repartition(_parts(docs), "block").sortWithinPartitions("block", "kind")
@@ -469,7 +472,7 @@ class LocalEncoder:
         block = Block(self.vocab.added)
         for some in _pieces(texts):
             block.add([texts[i] for i in some])
-        _, words, docs = block.close()
+        words, docs = block.close()
         ids = self.vocab.encode(words)
         offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int64)
         flat = np.fromiter((i for x in ids for i in x), dtype="<u4", count=int(offsets[-1]))

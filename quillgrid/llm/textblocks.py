@@ -1,9 +1,10 @@
 """Vectorised splitting and hashing of texts: numpy over whole blocks, no Python step per word.
 
-Word hashes are 64-bit polynomials over the word's bytes, sequence hashes are
-64-bit polynomials over mixed word hashes; both wrap modulo 2**64 and are mixed
-afterwards.  Memory follows the block, and a huge text is hashed in pieces that
-end at separators, so it follows the text's words and not eight times its bytes.
+A word's hash is the sum over its bytes of a random number of the byte times a random
+number of its place, modulo 2**64, so no pattern of bytes cancels as it does in a
+polynomial with a wrapping modulus; a sequence's hash joins those of its halves with a
+mixing step each time.  Memory follows the block, and a huge text is hashed in pieces
+that end at separators, so it follows the text's words and not eight times its bytes.
 """
 
 from __future__ import annotations
@@ -17,9 +18,8 @@ U = np.uint64
 #: Bytes of text that are handled at once.
 BLOCK = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _SEQ = 0xD1342543DE82EF95 | 1
-_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_PLACES: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,21 +29,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse for i < n, modulo 2**64."""
-    got = _POW.get(base)
-    if got is None or len(got[0]) < n:
-        size = max(n, 1 << 16)
-        inverse = pow(base, -1, 1 << 64)
-        out = []
-        for b in (base, inverse):
-            a = np.full(size, b, dtype=U)
-            a[0] = 1
-            out.append(np.cumprod(a, dtype=U))
-        got = (out[0], out[1])
-        if size <= 4 * BLOCK:
-            _POW[base] = got
-    return got
+def numbered(n: int, salt: int) -> np.ndarray:
+    """Fixed random numbers for 0 to n - 1."""
+    return mix(mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) ^ U(salt)))
+
+
+def places(n: int) -> np.ndarray:
+    """The random numbers of places in a word, for n places at least."""
+    if not _PLACES or len(_PLACES[0]) < n:
+        made = numbered(max(n, 1 << 12), 0x94D049BB133111EB)
+        if len(made) > 1 << 16:  # for one huge word only
+            return made
+        _PLACES[:] = [made]
+    return _PLACES[0]
+
+
+def sums(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the words values[a:b] (not empty, in order, apart), from the random numbers of their characters."""
+    start = np.zeros(len(values), dtype=np.int32)
+    start[a] = a
+    np.maximum.accumulate(start, out=start)
+    at = np.arange(len(values), dtype=np.int32)
+    at -= start
+    del start
+    longest = int((b - a).max()) if len(a) else 0
+    np.minimum(at, max(longest - 1, 0), out=at)  # between words
+    total = np.empty(len(values) + 1, dtype=U)
+    total[0] = 0
+    np.cumsum(values * places(longest or 1)[at], out=total[1:])
+    return mix((total[b] - total[a]) ^ (b - a).astype(U) << U(48))
 
 
 def _separators(kind: str) -> np.ndarray:
@@ -61,6 +75,7 @@ def _separators(kind: str) -> np.ndarray:
 SEPARATORS = {k: _separators(k) for k in ("space", "alnum")}
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
+BYTES = numbered(256, 0xC2B2AE3D27D4EB4F)
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,10 +116,7 @@ def _piece(data: np.ndarray, starts: np.ndarray, sep: np.ndarray, lower: bool) -
     before = inside[inside > 0] - 1
     last[before] = word[before]
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = powers(_BASE, len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum((data.astype(U) + U(1)) * power[: len(data)], out=total[1:])
-    return mix((total[b] - total[a]) * inverse[a] ^ (b - a).astype(U) << U(48)), a, b
+    return sums(BYTES[data], a, b), a, b
 
 
 def words(data: np.ndarray, offsets: np.ndarray, kind: str, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -132,20 +144,20 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: str, lower: bool) -> tupl
 
 
 def windows(h: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all runs of ``length`` word hashes (ignoring where documents end)."""
+    """Hashes of all runs of ``length`` word hashes (ignoring where documents end), by doubling."""
     n = len(h) - length + 1
     if n <= 0:
         return np.zeros(0, U)
-    if length <= 8:
-        out = np.zeros(n, dtype=U)
-        for t in range(length):
-            out = out * U(_SEQ) + h[t : t + n]
-    else:
-        power, inverse = powers(_SEQ, len(h) + 1)
-        total = np.zeros(len(h) + 1, dtype=U)
-        np.cumsum(h * power[: len(h)], out=total[1:])
-        out = (total[length:] - total[:-length]) * inverse[:n]
-    return mix(out ^ U(length * 0x9E3779B9))
+    out, done, size, power = None, 0, 1, h
+    while True:
+        if length & size:
+            part = power[done : done + n]
+            out = part if out is None else mix(out * U(_SEQ) + part)
+            done += size
+        if done == length:
+            return mix(out ^ U(length * 0x9E3779B9))
+        power = mix(power[:-size] * U(_SEQ) + power[size:])
+        size *= 2
 
 
 def owner(offsets: np.ndarray) -> np.ndarray:
@@ -159,6 +171,17 @@ def whole(offsets: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.arange(n) + length <= offsets[1:][doc]
 
 
+def equal(values: np.ndarray, a: np.ndarray, b: np.ndarray, where: np.ndarray, back: np.ndarray) -> bool:
+    """Whether each word values[a:b] is the one that stands for it, word where[back]; words follow each other without gaps."""
+    of = where[back]
+    size = b - a
+    if not np.array_equal(size, size[of]):
+        return False
+    place = np.repeat((a[of] - a).astype(np.int32), size)
+    place += np.arange(int(a[0]), int(b[-1]), dtype=np.int32) if len(a) else np.zeros(0, np.int32)
+    return bool(np.array_equal(values[place], values[a[0] : b[-1]])) if len(a) else True
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -16,6 +16,14 @@ LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 SPACE = r"[^\x20\x09-\x0D]+"
 
 
+def thue_morse(n, letters="ab"):
+    """A word of 2**n letters and its complement: polynomials modulo 2**64 give both one hash."""
+    a, b = letters
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
 def texts():
     rng = random.Random(7)
     vocab = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 7))) for _ in range(400)]
@@ -31,7 +39,8 @@ def texts():
     passage = base[30] + " " + base[31] + " " + base[32]
     mixed = [f"{base[40 + i]} {passage} {base[50 + i % 9]}" for i in range(8)]
     odd = [None, "", " ", "One", "one", "a\x00b \x0b\x0c c", "x" * 20_000, "The the THE", "mail a@b.cd card 4111 1111 1111 1111 ip 10.0.0.1 tel +1 (234) 555-7713", "<|endoftext|> don't \n\n  'll"]
-    return base + near + mixed + odd + base[:3]
+    twins = [x.format(w) for n in (10, 11, 12) for w in thue_morse(n) for x in ("{}", "one two {} three four", f"{base[33]} {{}} {base[34]}")]
+    return base + near + mixed + odd + base[:3] + twins
 
 
 @pytest.fixture(scope="module")
@@ -92,7 +101,7 @@ def test_superminhash_estimates_similarity():
 
 @pytest.mark.parametrize("block", [decontam.BLOCK_WINDOWS, 40])
 def test_decontamination(spark, docs, rows, block):
-    bench = [(1, texts()[30]), (2, "One"), (3, None), (4, "  "), (1, texts()[30]), (10, texts()[50])]
+    bench = [(1, texts()[30]), (2, "One"), (3, None), (4, "  "), (1, texts()[30]), (10, texts()[50]), (11, thue_morse(11)[0]), (12, f"a b {thue_morse(12)[1]}")]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     windows = collections.defaultdict(set)
     for i, t in bench:
@@ -234,6 +243,7 @@ def test_bpe_splitter_on_odd_characters():
     parts = [*" \n\t'stmdrevlxé中１٣½!,.''   \u0085ⅷ😀´ʼ", "<|endoftext|>", "'s", "'ll", "'re", "  "]
     some = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
     some += ["".join(chr(c) for c in (rng.randrange(0x110000) for _ in range(100)) if not 0xD800 <= c < 0xE000) for _ in range(200)]
+    some += [w for n in (10, 11, 12) for w in thue_morse(n)]
     got = bpe.LocalEncoder(path)(some)
     assert [x.tolist() for x in got] == [x.ids for x in Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)]
 
