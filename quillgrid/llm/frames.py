@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,49 +21,70 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:  # noqa: ANN001
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        _release()
+
+    return df.mapInArrow(run, schema)
+
+
+def _release() -> None:
+    """Give free memory back to the system: idle workers stay alive and would keep their task's peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (id, component) per linked id, component the smallest id.
 
-    Each partition first reduces its links to a forest by union-find, which keeps
-    at most one link per id and partition; alternating large-star and small-star
-    rounds then join the forests.  Every round is checkpointed, and a hub's links
-    are aggregated map-side before they are shuffled.  Null ends are ignored.
+    Each partition first reduces its links to a forest by union-find, which keeps at
+    most one link per id and partition.  Then each round hangs the ids below an id
+    under the smallest id that it is linked with (large star), and links an id's
+    other smaller ids to its smallest (small star), until all links are stars.  Only
+    larger ends are keys of an aggregation, so a hub, which is a smaller end, is
+    never collected.  Every round is checkpointed.  Null ends are ignored.
     """
     pairs = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a is not null and b is not null and a <> b")
     edges = cut(map_arrow(pairs, _forest, "a long, b long").distinct())
-    seen = None
     while True:
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        ends = edges.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("id")).distinct().select("id", F.lit(0).cast("long").alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").isEmpty():
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+        low = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        large = edges.join(low, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = cut(small.filter("a <> b").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(a, b) as decimal(38,0))")), F.count_distinct("a")).first()
-        if state == seen:
-            break
-        seen = state
-    return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id").union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+#: Links that a partition reduces at once.
+LINKS = 200_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:  # bounded by the batch
-        parent: dict[int, int] = {}
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while parent.setdefault(root, root) != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
 
-        def find(x: int, parent: dict[int, int] = parent) -> int:
-            root = x
-            while parent.setdefault(root, root) != root:
-                root = parent[root]
-            while parent[x] != root:
-                parent[x], x = root, parent[x]
-            return root
+    def forest() -> pa.RecordBatch:
+        found = [(x, find(x)) for x in parent if find(x) != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
+    for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x, y = find(a), find(b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-        found = [(x, find(x)) for x in parent if find(x) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+        if len(parent) > LINKS:
+            yield forest()
+    yield forest()
