@@ -1,27 +1,31 @@
 """Duplicate passages by relative Lempel-Ziv parsing against an index of every reference block.
 
-The reference of a document is all text of documents with a smaller id.  It is
-indexed by fingerprints of its 50-word windows, in blocks by fingerprint hash; an
-entry keeps the smallest id whose text holds the window.
+The reference of a document is all text of documents with a smaller id.  Its blocks are
+indexed by fingerprints of their 50-word windows; an entry keeps where the reference
+holds the window first: the smallest id, and the place in its text.
 
 1. One pass hashes each text as a whole and selects anchors: the least 10-word hash of
    every window (about one word in twenty).  Equal windows have equal anchors.
 2. A text that equals one with a smaller id is one factor; it is no reference either,
    as the smaller one holds the same windows.
 3. Only windows whose anchor stands in several ids are looked up: their fingerprints
-   meet the index, and those of smaller ids come back to the document.
-4. The document is parsed greedily: a factor starts at the first window that the
-   reference holds and is extended word by word while the reference holds the next
-   window too.  After its end the windows that straddle the boundary are checked
-   before a literal is accepted, so no repeated window is lost between two factors.
+   meet the index, and the places in smaller ids come back to the document.
+4. The document is parsed greedily from left to right: a factor starts at the first
+   window that the reference holds, at that place of that reference text, and is
+   extended word by word while the next window stands at the next place of the same
+   text.  A factor is thus one stretch of one reference text.  After its end the windows
+   that straddle the boundary are looked at before a literal is accepted: one that the
+   reference holds elsewhere starts the next factor, which overlaps the one before, so
+   no repeated window is lost between two factors.
 
 Fingerprints are aggregated map-side before they are shuffled; a passage that a third
 of all documents share costs each document one row per window, never pairs.
 
 Defined cases: null and empty texts have no words; texts of fewer than 50 words are
 kept; a row without id is neither reference nor parsed; repeated ids are not smaller
-than each other, so equal rows stay; an empty table gives an empty result; columns
-other than the named ones play no part.
+than each other, so equal rows stay; a factor's source that is a repeated id is its
+least place; an empty table gives an empty result; columns other than the named ones
+play no part.
 """
 
 from __future__ import annotations
@@ -91,36 +95,52 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of the windows whose anchor is shared: one row (doc_id, fp) for each."""
+    """Fingerprints of the windows whose anchor is shared: one row (doc_id, fp, place) for each that the text holds, with its first place."""
     for batch in batches:
         shared = batch.column(3)
         for a, b, _, h, at in _texts(batch, 2):
-            ids, prints = [], []
+            ids, prints, places = [], [], []
             for i in range(a, b):
                 w = h[at[i - a] : at[i - a + 1]]
                 if len(w) < WINDOW:
                     continue
                 known = np.asarray(shared[i].values).view(U)
-                some = np.isin(anchors(w), known)
-                fp = np.unique(tb.windows(w, WINDOW)[some])
+                some = np.flatnonzero(np.isin(anchors(w), known))
+                fp, first = np.unique(tb.windows(w, WINDOW)[some], return_index=True)
                 prints.append(fp)
-                ids += [batch.column(0)[i].as_py()] * len(fp)
-            flat = np.concatenate(prints) if prints else np.zeros(0, U)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tb.signed(flat))], ["doc_id", "fp"])
+                places.append(some[first].astype(np.int32))
+                ids.append(np.full(len(fp), batch.column(0)[i].as_py(), dtype=np.int64))
+            flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((ids, np.int64), (prints, U), (places, np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(tb.signed(flat[1])), pa.array(flat[2])], ["doc_id", "fp", "place"])
 
 
-def factor(held: np.ndarray) -> list[tuple[int, int]]:
-    """Greedy factors (start, words) of a text, given which of its windows the reference holds.
+def factor(source: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, words, source, its place) of a text, from each window's first place in the reference (place -1: none).
 
-    A factor is extended while the next window is held.  Its successor may overlap it:
-    windows that straddle its end are looked at before words count as literals.
+    A factor goes on while the next window stands at the next place of the same source.
+    Its successor may overlap it: windows that straddle its end are looked at before
+    words count as literals.
     """
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], held.astype(np.int8), [0]))))
-    return [(int(a), int(b - a) + WINDOW - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    held = place >= 0
+    goes_on = np.zeros(len(held) + 1, dtype=bool)
+    goes_on[1:-1] = held[1:] & held[:-1] & (source[1:] == source[:-1]) & (place[1:] == place[:-1] + 1)
+    first, last = np.flatnonzero(held & ~goes_on[:-1]), np.flatnonzero(held & ~goes_on[1:])
+    return [(a, b - a + WINDOW, s, p) for a, b, s, p in zip(first.tolist(), last.tolist(), source[first].tolist(), place[first].tolist(), strict=True)]
+
+
+def _places(w: np.ndarray, hits: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Source and place of every window, from those of each held window's first place in the text."""
+    at, source, place = (np.asarray(x) for x in hits.values.flatten())
+    fp = tb.windows(w, WINDOW)
+    known = fp[at]
+    order = np.argsort(known)
+    near = order[np.minimum(np.searchsorted(known[order], fp), len(known) - 1)]
+    held = known[near] == fp
+    return np.where(held, source[near], 0), np.where(held, place[near], -1)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with their held fingerprints (null: none)."""
+    """Rows with the places of their held windows (null: none)."""
     for batch in batches:
         hits = batch.column(3)
         for a, b, part, h, at in _texts(batch, 2):
@@ -130,33 +150,31 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(b - a):
                 w = h[at[i] : at[i + 1]]
                 words = data[offsets[i] : offsets[i + 1]].split()
-                starts: list[int] = []
-                sizes: list[int] = []
-                keep = None
+                found: list[tuple[int, int, int, int]] = []
+                left = words
                 if hits[a + i].is_valid and len(w) >= WINDOW:
-                    held = np.isin(tb.windows(w, WINDOW), np.asarray(hits[a + i].values).view(U))
                     keep = np.ones(len(w), dtype=bool)
-                    for s, n in factor(held):
+                    found = factor(*_places(w, hits[a + i]))
+                    for s, n, _, _ in found:
                         keep[s : s + n] = False
-                        starts.append(s)
-                        sizes.append(n)
-                left = words if keep is None else list(compress(words, keep.tolist()))
-                rows.append((len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest(), starts, sizes))
+                    left = list(compress(words, keep.tolist()))
+                rows.append((len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest(), *(list(x) for x in (zip(*found, strict=True) if found else ((),) * 4))))
             columns = [batch.column(0).slice(a, b - a)]
-            columns += [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "starts", "sizes"])
+            columns += [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "starts", "sizes", "sources", "places"])
 
 
-_PARSED = "doc_id long, n_words long, n_removed long, kept_sha256 string, starts array<int>, sizes array<int>"
+_PARSED = "doc_id long, n_words long, n_removed long, kept_sha256 string, starts array<int>, sizes array<int>, sources array<long>, places array<int>"
+_HELD = "array<struct<at:int,source:bigint,place:int>>"
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, and the duplicate factors (starts, sizes, in words)."""
+    """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, and the duplicate factors: starts and sizes (words) in the text, sources (ids) and places (words) there."""
     base = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
     sketch = cut(map_arrow(base, _sketch, "doc_id long, text_key long, n_words long, w1 long, w2 long, anchors array<long>"))
     long_ = sketch.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW))
     classes = long_.groupBy("w1", "w2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep <> last").select("w1", "w2", "rep")
-    copies = cut(long_.join(bounded(cut(classes)), ["w1", "w2"]).filter("doc_id > rep").select("doc_id", "text_key", "n_words"))
+    copies = cut(long_.join(bounded(cut(classes)), ["w1", "w2"]).filter("doc_id > rep").select("doc_id", "text_key", "n_words", "rep"))
     copied = bounded(copies.select("doc_id", "text_key").distinct())
     leaders = long_.join(copied, ["doc_id", "text_key"], "left_anti")
 
@@ -164,14 +182,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shared = marks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("anchor")
     asked = cut(marks.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared")))
     some = base.join(bounded(asked.select("doc_id")), "doc_id", "left_semi").join(copied, ["doc_id", "text_key"], "left_anti")
-    prints = map_arrow(some.join(asked, "doc_id").select("doc_id", "text_key", "text", "shared"), _prints, "doc_id long, fp long")
-    index = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("fp", "first")
-    held = cut(prints.join(index, "fp").filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("fp").alias("held")))
+    prints = map_arrow(some.join(asked, "doc_id").select("doc_id", "text_key", "text", "shared"), _prints, "doc_id long, fp long, place int")
+    index = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id <> last").select("fp", F.col("first.doc_id").alias("source"), F.col("first.place").alias("source_place"))
+    hits = prints.join(index, "fp").filter("doc_id > source")
+    held = cut(hits.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("place").alias("at"), "source", F.col("source_place").alias("place"))).alias("held")))
     touched = bounded(held.select("doc_id"))
 
     rest = base.join(copied, ["doc_id", "text_key"], "left_anti")
     parsed = rest.join(touched, "doc_id", "left_semi").join(held, "doc_id").select("doc_id", "text_key", "text", "held")
-    plain = rest.join(touched, "doc_id", "left_anti").select("doc_id", "text_key", "text", F.lit(None).cast("array<long>").alias("held"))
+    plain = rest.join(touched, "doc_id", "left_anti").select("doc_id", "text_key", "text", F.lit(None).cast(_HELD).alias("held"))
     all_ = F.array(F.lit(0))
-    of_copies = copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), all_.alias("starts"), F.array(F.col("n_words").cast("int")).alias("sizes"))
+    of_copies = copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), all_.alias("starts"), F.array(F.col("n_words").cast("int")).alias("sizes"), F.array("rep").alias("sources"), all_.alias("places"))
     return map_arrow(parsed, _parse, _PARSED).unionByName(map_arrow(plain, _parse, _PARSED)).unionByName(of_copies)

@@ -301,7 +301,21 @@ def test_substring_dedup(docs, rows):
                 keep[k : k + 50] = [False] * 50
         left = [x for x, y in zip(w, keep, strict=True) if y]
         expected[(i, len(w), len(w) - len(left), hashlib.sha256(" ".join(left).encode()).hexdigest())] += 1
-    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(docs).collect()) == expected
+    got = substring.dedup(docs).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == expected
+    held = collections.defaultdict(list)
+    for i, t in rows:
+        held[i].append(re.findall(SPACE, t or ""))
+    factors = 0
+    for r in got:  # a factor is a stretch of one reference text, and the factors cover what is removed
+        covered = set()
+        for start, size, source, place in zip(r.starts, r.sizes, r.sources, r.places, strict=True):
+            assert source < r.doc_id and size >= 50
+            assert any(s[place : place + size] == w[start : start + size] and len(s) >= place + size for s in held[source] for w in held[r.doc_id])
+            covered |= set(range(start, start + size))
+            factors += 1
+        assert len(covered) == r.n_removed
+    assert factors > 20
 
 
 def test_token_counts(docs, rows):
