@@ -8,27 +8,29 @@ host's distinct pages show there.  The importance of a page's branch is
 
 where H is the styles' entropy over m pages in units of log m, and n of the m pages
 show the same content there: varied places count much, what a site repeats counts
-little.  Branches under ``LEAST`` are removed, on hosts with ``PAGES`` distinct pages
-or more.  Elements that never hold an article (menus, headers and footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments, by tag, role or class) are
-removed on any host.  Paragraphs, headings and list items of an explicit article are
-content, also where a host repeats them.
+little.  Pages with the same main text count once, so a host's copies of one article
+do not make it look like a frame, while a line that stands in nearly all its articles
+does.  Branches under ``LEAST`` are removed, and paragraphs, headings, list items and
+the like of an explicit article under ``LEAST_INSIDE``, on hosts with ``PAGES`` distinct
+main texts or more; with fewer there is nothing to compare.  Elements that by their
+kind never hold an article (menus, headers and footers, sidebars, notices, adverts,
+forms, scripts, styles, reader comments, by tag, role or class) are removed on any host.
 
 If a page has ``article`` or ``main`` elements, only those hold its text, else its body
 does.  Character references are decoded, white space inside a block becomes one space
 (a line break counts as white space), blocks are joined by one newline.
 
 Defined cases: null and empty html give ""; a null or odd URL belongs to a host "";
-identical pages count once in a host's statistics; repeated rows each get their row; an
+pages with the same main text count once in a host's statistics; repeated rows each get their row; an
 empty table gives an empty result; other columns play no part.  Unclosed elements end
 where HTML ends them, unclosed comments and scripts at the end of the page.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +41,9 @@ from ..runtime import bounded, cut
 from .frames import map_arrow, narrow
 from .urls import parts
 
-PAGES, LEAST, PRESENTATION = 5, 0.35, 0.1
+PAGES, LEAST, LEAST_INSIDE, PRESENTATION = 5, 0.35, 0.15, 0.1
+#: Entries of pages' lists of removed contents that may be broadcast; beyond them the join shuffles.
+MARKS = 1_000_000
 
 _NAME = r"[a-zA-Z][a-zA-Z0-9:-]*"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)({_NAME})((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)({_NAME})([^>]*)>|<[!?][^>]*>", re.S)
@@ -129,7 +133,7 @@ class Page:
     def _pop(self) -> None:
         tag, node, _, _, _, children = self.stack.pop()
         if tag in _BLOCK:
-            self.styles[node] = " ".join(children[:64])
+            self.styles[node] = " ".join(children)
 
     def _close(self, tag: str) -> None:
         if tag == "br":
@@ -198,24 +202,26 @@ _SIBLINGS = {
 
 
 def _key(*parts_: str) -> int:
-    """63 bits of two checksums."""
+    """A 64-bit digest."""
     data = "\0".join(parts_).encode("utf-8", "surrogatepass")
-    return (zlib.crc32(data) << 31 | zlib.adler32(data) >> 1) ^ len(data) << 20
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page its nodes: (node, is a content, key of the style or content)."""
+    """Of each page the key of its main text, and its nodes: (node, is a content, key of the style or content, protected)."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
-            rows = []
+            rows, mains = [], []
             for source in part.column(3).to_pylist():
                 page = Page(source or "")
-                seen = {(_key(node), False, _key(style)) for node, style in page.styles.items()}
-                seen |= {(_key(node), True, _key(text)) for node, text, _, protected in page.kept() if not protected}
-                rows.append([{"node": a, "content": b, "value": c} for a, b, c in seen])
-            kind = pa.list_(pa.struct([("node", pa.int64()), ("content", pa.bool_()), ("value", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(rows, kind)], ["page_id", "html_key", "host", "nodes"])
+                kept = page.kept()
+                seen = {(_key(node), False, _key(style), False) for node, style in page.styles.items()}
+                seen |= {(_key(node), True, _key(text), protected) for node, text, _, protected in kept}
+                mains.append(_key(*(text for _, text, _, _ in kept)))
+                rows.append([{"node": a, "content": b, "value": c, "protected": d} for a, b, c, d in seen])
+            kind = pa.list_(pa.struct([("node", pa.int64()), ("content", pa.bool_()), ("value", pa.int64()), ("protected", pa.bool_())]))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(mains, pa.int64()), pa.array(rows, kind)], ["page_id", "html_key", "host", "main", "nodes"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,31 +232,34 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for source, low in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 page = Page(source or "")
                 drop = {(x["node"], x["value"]) for x in low or ()}
-                texts.append("\n".join(text for node, text, _, protected in page.kept() if protected or not drop or (_key(node), _key(text)) not in drop))
+                texts.append("\n".join(text for node, text, _, _ in page.kept() if not drop or (_key(node), _key(text)) not in drop))
             yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def style_tree(nodes: DataFrame) -> DataFrame:
-    """Contents of low importance, from (page_id, html_key, host, nodes): host, node, value, importance."""
-    pages = nodes.groupBy("host", "html_key").agg(F.first("nodes").alias("nodes"))  # identical pages count once
+    """Contents of low importance, from (page_id, html_key, host, main, nodes): host, node, value, importance."""
+    pages = nodes.groupBy("host", "main").agg(F.min_by("nodes", F.struct("html_key", "page_id")).alias("nodes"))  # copies of a main text count once
     sizes = pages.groupBy("host").agg(F.count("*").alias("m")).filter(F.col("m") >= PAGES)
-    flat = pages.select("host", F.explode("nodes").alias("x")).select("host", "x.node", "x.content", "x.value")
-    counts = flat.groupBy("host", "node", "content", "value").agg(F.count("*").alias("n"))
+    flat = pages.select("host", F.explode("nodes").alias("x")).select("host", "x.*")
+    counts = flat.groupBy("host", "node", "content", "value", "protected").agg(F.count("*").alias("n"))
     styles = counts.filter("not content").groupBy("host", "node").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     styles = styles.select("host", "node", (F.log("all") - F.col("nlogn") / F.col("all")).alias("h"))
     contents = counts.filter("content and n > 1").drop("content").join(bounded(sizes), "host").join(styles, ["host", "node"], "left")
     importance = PRESENTATION * F.coalesce(F.col("h"), F.lit(0.0)) / F.log("m") + (1 - PRESENTATION) * (1 - F.log("n") / F.log("m"))
-    return contents.withColumn("importance", importance).filter(F.col("importance") < LEAST).select("host", "node", "value", "importance")
+    least = F.when(F.col("protected"), LEAST_INSIDE).otherwise(LEAST)
+    return contents.withColumn("importance", importance).filter(F.col("importance") < least).groupBy("host", "node", "value").agg(F.min("importance").alias("importance"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row (page_id, url, text, n_chars) per row of ``pages``."""
     kind = dict(pages.dtypes)[id_col]
     base = narrow(pages, page_id=id_col, url=url_col, html=html_col).withColumn("html_key", F.xxhash64("html")).withColumn("host", parts(F.col("url"))[0])
-    nodes = cut(map_arrow(base.select("page_id", "html_key", "host", "html"), _nodes, f"page_id {kind}, html_key long, host string, nodes array<struct<node: long, content: boolean, value: long>>"))
+    nodes = cut(map_arrow(base.select("page_id", "html_key", "host", "html"), _nodes, f"page_id {kind}, html_key long, host string, main long, nodes array<struct<node: long, content: boolean, value: long, protected: boolean>>"))
     low = cut(style_tree(nodes))
     leaves = nodes.select("page_id", "html_key", "host", F.explode("nodes").alias("x")).filter("x.content").select("page_id", "html_key", "host", "x.node", "x.value").distinct()
     marks = leaves.join(bounded(low.select("host", "node", "value")), ["host", "node", "value"]).groupBy("page_id", "html_key").agg(F.collect_set(F.struct("node", "value")).alias("low"))
-    marks = bounded(cut(marks.select(F.col("page_id").alias("of"), F.col("html_key").alias("of_key"), "low")))
+    marks = cut(marks.select(F.col("page_id").alias("of"), F.col("html_key").alias("of_key"), "low"))
+    entries = marks.agg(F.sum(F.size("low") + 1)).first()[0] or 0
+    marks = F.broadcast(marks) if entries <= MARKS else marks
     joined = base.join(marks, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("html_key") == F.col("of_key")), "left")
     return map_arrow(joined.select("page_id", "url", "html", "low"), _extract, f"page_id {kind}, url string, text string, n_chars long")

@@ -285,6 +285,39 @@ def test_html(spark):
     assert got[(10, "one tells a story of its own", 28)] == 1  # what the host repeats is gone
 
 
+def test_html_style_tree_inside_articles(spark):
+    """What nearly every article of a host shows goes, a host's copies of one article stay; against a tree in plain Python."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+    pages = []
+    for host in ("many.org", "few.org"):
+        for n in range(30 if host == "many.org" else 3):
+            blocks = [" ".join(word() for _ in range(9)) for _ in range(rng.randrange(1, 5))] + ["Read more on our site"] * (n % 15 > 0) + ["Seen on a few pages"] * (n % 5 == 0)
+            for copy in range(12 if n == 3 else 1):
+                pages.append((f"http://{host}/{n}/{copy}", blocks, f"<body><p>top {copy}</p><article>{''.join(f'<p>{b}</p>' for b in blocks)}</article></body>"))
+    count, mains = collections.Counter(), collections.Counter()
+    for host, blocks in {(u.split("/")[2], tuple(b)) for u, b, _ in pages}:
+        mains[host] += 1
+        count.update((host, b) for b in set(blocks))
+    styles = collections.defaultdict(collections.Counter)
+    for host, blocks in {(u.split("/")[2], tuple(b)) for u, b, _ in pages}:
+        styles[host][""] += 1  # a paragraph has no child tags here
+
+    def low(host, b):
+        m, n = mains[host], count[host, b]
+        return m >= html.PAGES and n > 1 and (1 - html.PRESENTATION) * (1 - np.log(n) / np.log(m)) < html.LEAST_INSIDE
+
+    some = [(i, u, h, "x") for i, (u, _, h) in enumerate(pages)] + [(None, pages[0][0], pages[0][2], "x"), (900, None, "<p>a" + "<div>" * 3000 + "deep" + " w" * 200_000, "x")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(some, "page_id long, url string, html string, text string")).collect()}
+    removed = 0
+    for i, (u, blocks, _) in enumerate(pages):
+        host = u.split("/")[2]
+        assert got[i] == "\n".join(b for b in blocks if not low(host, b))
+        removed += sum(low(host, b) for b in blocks)
+    assert removed > 20 and any("Seen on a few pages" in t for t in got.values()) and got[None] == got[0]
+    assert got[900] == "a\ndeep" + " w" * 200_000
+
+
 def test_substring_dedup(docs, rows):
     first = {}
     for i, t in rows:
