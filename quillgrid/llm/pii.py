@@ -2,13 +2,14 @@
 
 Base spans (email, ip, card, phone) are pattern matches that pass their checks.  Beside
 them high-recall generators propose spans, which may overlap: written-out email
-addresses, and as telephone or card numbers every stretch of whole digit groups of a
-run that has their digits, however long the run is.  A candidate's features are its
+addresses, as telephone or card numbers every stretch of whole digit groups of a run
+that has their digits, however long the run is, and as secrets (keys, tokens, passwords)
+every run of 12 or more letters, digits and joining signs that holds a digit.  A candidate's features are its
 format (digits, groups, separators, brackets, Luhn sum) and its context (words in front
 of its run, characters around it).  Gradient-boosted depth-2 trees, one model for each
 kind, score them; the score is a CASE expression.  A candidate is accepted above the
 threshold that keeps a precision of ``PRECISION`` on held-out examples, and if it does
-not overlap a base span; of accepted numbers that overlap, the one furthest above its
+not overlap a base span (or, if it is a secret, an accepted number); of accepted numbers that overlap, the one furthest above its
 threshold stays.
 
 The models are trained on ``EXAMPLES`` rendered examples per kind (a bounded sample,
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from .frames import narrow
 from .quality import let
 
-KINDS = ("email", "ip", "card", "phone")
+#: The base kinds, in the order of their spans, and the kind that only the method finds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 EXAMPLES, ROUNDS, RATE, PRECISION = 2000, 20, 0.3, 0.99
 
 #: The base patterns, with possessive repeats where giving back could not help a match.
@@ -46,6 +49,7 @@ PATTERNS = {
 GENERATORS = {
     "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[]\x20?at\x20?[)\]]\x20?[A-Za-z0-9-]{1,64}+\x20?(?:\.|[(\[]\x20?dot\x20?[)\]])\x20?[A-Za-z]{2,24}+",
     "number": r"[0-9][\x20().0-9/-]*+",  # a run, of which stretches of whole groups are proposed
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}",
 }
 #: Digits of a proposed number, by kind.
 DIGITS = {"card": (13, 19), "phone": (9, 15)}
@@ -54,6 +58,7 @@ CONTEXT = {
     "phone": r"(?i)\b(?:tel|telephone|phone|call|fax|mobile|cell|telefon|téléphone|teléfono|appelez|anruf)\b",
     "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta|cb)\b",
     "email": r"(?i)\b(?:e-?mail|contact|write|mail|correo|courriel)\b",
+    "secret": r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|bearer|credentials?)[\"']?\s*(?:[=:]|\bis\b)?\s*[\"']?$",
 }
 _FRONT, _CHUNK = 24, 256
 
@@ -119,7 +124,7 @@ def base_spans(text: Column) -> Column:
         shaped = F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
         return F.when(_where(text, kind), shaped).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))
 
-    return F.array_sort(F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)]))
+    return F.array_sort(F.concat(*[of(k, kind) for k, kind in enumerate(BASE_KINDS)]))
 
 
 def numbers(text: Column, base: Column | None = None) -> Column:
@@ -190,6 +195,29 @@ def features(v: Column, front: Column, left: Column, back: Column) -> dict[str,
     }
 
 
+def secret_features(v: Column, front: Column, back: Column) -> dict[str, Column]:
+    """Format and context of a run that may be a secret."""
+    n = lambda pattern: (F.length(v) - F.length(F.regexp_replace(v, pattern, "")))
+    return {
+        "length": F.length(v),
+        "digits": n("[0-9]"),
+        "letters": n("[A-Za-z]"),
+        "joins": n("[+/_-]"),
+        "turns": F.length(F.regexp_replace(F.regexp_replace(v, "[0-9]+", "0"), "[A-Za-z]+", "a")),  # changes between letters and digits
+        "kinds": F.size(F.array_distinct(F.split(F.substring(v, 1, 64), ""))),
+        "hex": v.rlike("^[0-9a-fA-F]+$").cast("int"),
+        "mixed": (v.rlike("[a-z]") & v.rlike("[A-Z]")).cast("int"),
+        "quoted": (front.rlike("[\"']$") & back.rlike("^[\"']")).cast("int"),
+        "assigned": front.rlike("[=:]\\s*[\"']?$").cast("int"),
+        "secret_word": front.rlike(CONTEXT["secret"]).cast("int"),
+        "path": (front.rlike("[/.@#&?]$") | back.rlike("^[/.@&?][A-Za-z0-9]")).cast("int"),  # part of an address
+    }
+
+
+def _made(kind: str, v: Column, front: Column, left: Column, back: Column) -> dict[str, Column]:
+    return secret_features(v, front, back) if kind == "secret" else features(v, front, left, back)
+
+
 def _examples(spark: SparkSession, kind: str) -> DataFrame:
     """Rendered candidates: id, s, e, v, front, left, back, label, held; a fixed sample drawn by hashing row numbers."""
     rows = spark.range(EXAMPLES)
@@ -230,6 +258,19 @@ def _examples(spark: SparkSession, kind: str) -> DataFrame:
         front, back = framed(one("c", ["e-mail: ", "contact ", "write ", "mail "]))
         return rows.select("id", F.lit(0).alias("s"), F.lit(1).alias("e"), F.when(positive, yes).otherwise(other).alias("v"), front.alias("front"), front.alias("left"), back.alias("back"), positive.cast("int").alias("label"), held)
 
+    if kind == "secret":
+        code = F.sha2(F.concat(F.lit("secret"), F.col("id").cast("string")), 512)
+        base64 = F.regexp_replace(F.base64(F.unhex(code)), "[\n\r=]", "")
+        size = lambda c, salt, a, b: F.substring(c, 1, 200).substr(F.lit(1), pick(salt, b - a + 1) + a)
+        key = one("kf", [F.substring(code, 1, 40), F.substring(code, 1, 32), F.substring(code, 1, 64), size(base64, "k1", 20, 60), F.concat(F.lit("sk-"), size(base64, "k2", 20, 48)), F.concat(F.lit("AKIA"), F.upper(F.substring(code, 1, 16)))])
+        d = lambda salt, n: F.lpad(pick(salt, 10**n).cast("string"), n, "0")
+        name = one("nf", ["section", "article-number", "some_long_name", "Chapter", "covid-vaccine", "version"])
+        other = one("of", [F.concat(d("o1", 8), d("o2", 8)), F.concat_ws("-", F.concat(F.lit("20"), d("o3", 2)), d("o4", 2), d("o5", 2), d("o6", 4)), F.concat_ws("-", name, d("o7", 2), name), F.concat_ws("/", name, d("o8", 4), d("o9", 3)), F.concat(name, name, d("o10", 3)), F.concat_ws("_", name, name, d("o11", 1)), F.concat(F.substring(code, 1, 8), F.lit("-"), F.substring(code, 9, 4), F.lit("-"), F.substring(code, 13, 4)), F.concat(d("o12", 6), d("o13", 7)), F.concat(F.repeat(one("of2", ["x", "ab", "Ha", "0a"]), pick("o14", 300) + 12), d("o15", 1)), F.concat(F.repeat(name, pick("o16", 8) + 2), d("o17", 2))])
+        front = F.when(positive, one("c", ['token = "', "token: ", "api_key='", "password: ", 'secret="', "Bearer ", "access key is ", '"auth": "', "API-KEY = "]))
+        front = F.when(front.isNotNull() & (pick("clue", 10) < 9), front).otherwise(one("w2", ["the ", "order ", "of ", "see ", "ref: ", "in ", "no = ", 'name = "', "(", "www.site.org/"]))
+        back = F.when(front.rlike("\"$"), F.lit('"')).when(front.rlike("'$"), F.lit("'")).otherwise(one("b", [" ", ".", ",", " ", ""]))
+        return rows.select("id", F.lit(0).alias("s"), F.lit(1).alias("e"), F.when(positive, key).otherwise(other).alias("v"), front.alias("front"), front.alias("left"), back.alias("back"), positive.cast("int").alias("label"), held)
+
     mine = ("card", "phone").index(kind)
     clue = one("c", ["card ", "visa ", "credit card: ", "debit "] if kind == "card" else ["tel ", "phone: ", "call ", "fax ", "mobile "])
     front, back = framed(clue)
@@ -311,7 +352,7 @@ def model(spark: SparkSession, kind: str) -> tuple[list[str], list[tuple], float
     """Feature names, trees and threshold of a kind; trained once in a process, always alike."""
     if kind not in _MODELS:
         sample = _examples(spark, kind)
-        made = features(F.col("v"), F.col("front"), F.col("left"), F.col("back"))
+        made = _made(kind, F.col("v"), F.col("front"), F.col("left"), F.col("back"))
         names = list(made)
         rows = sample.select(*[c.cast("int").alias(n) for n, c in made.items()], "label", "held", "id", "s", "e").collect()  # the proposals of EXAMPLES short texts
         counts: dict[tuple[int, ...], list[int]] = {}
@@ -359,7 +400,7 @@ def extra_spans(spark: SparkSession, text: Column, base: Column) -> Column:
     """Accepted candidates, as base_spans has them; a number may stand as several kinds, of which the first in the list wins."""
 
     def judged(x: Column, kinds: tuple[str, ...]) -> Column:
-        made = features(x["v"], x["front"], x["left"], x["back"])
+        made = _made(kinds[0], x["v"], x["front"], x["left"], x["back"])
 
         def which(m: Column) -> Column:
             shaped = lambda d, k: F.struct(d.alias("m"), x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))
@@ -376,15 +417,16 @@ def extra_spans(spark: SparkSession, text: Column, base: Column) -> Column:
     def accepted(some: Column, kinds: tuple[str, ...]) -> Column:
         return F.filter(F.transform(some, lambda x: judged(x, kinds)), lambda x: x["k"] >= 0)
 
-    def mail(x: Column) -> Column:
+    def beside(x: Column) -> Column:
         front = F.substring(text, F.greatest(x["s"] - _FRONT, F.lit(0)) + 1, F.least(x["s"], F.lit(_FRONT)))
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), front.alias("front"), front.alias("left"), F.substring(text, x["e"] + 1, F.lit(1)).alias("back"))
 
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    mails = accepted(F.transform(find(text, GENERATORS["email"]), mail), ("email",))
-    shaped = F.transform(mails, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    alone = lambda kind: F.transform(accepted(F.transform(find(text, GENERATORS[kind]), beside), (kind,)), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     counted = F.flatten(F.transform(numbers(text, base), lambda run: _apart(accepted(run, ("card", "phone")))))
-    return F.concat(F.when(text.rlike(r"(?i)[(\[]\x20?at\x20?[)\]]"), shaped).otherwise(none), F.when(text.rlike("[0-9]"), counted).otherwise(none))
+    numeric = F.when(text.rlike("[0-9]"), counted).otherwise(none)
+    secrets = F.when(text.rlike(GENERATORS["secret"]), let(numeric, lambda n: F.filter(alone("secret"), lambda x: ~F.exists(n, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))))).otherwise(none)
+    return F.concat(F.when(text.rlike(r"(?i)[(\[]\x20?at\x20?[)\]]"), alone("email")).otherwise(none), numeric, secrets)
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
