@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, html, neardup, packing, pii, quality, substring, tokencount, urls
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "table", "tokenizer_file"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +38,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(k: int) -> Column:
         return F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
 
-    return found.select("doc_id", *map(count, range(len(pii.KINDS))), F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+    secrets = F.size(F.filter("spans", lambda x: x["k"] == pii.KINDS.index("secret"))).cast("long").alias("n_secret")
+    return found.select("doc_id", *map(count, range(len(pii.BASE_KINDS))), F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"), secrets)
 
 
 #: The rules that op4 is given.
@@ -62,7 +66,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup(table(spark, sf_dir, "documents"))
+    return substring.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +75,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -86,5 +90,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
 }
-
-ORACLES: dict[str, str] = {}
