@@ -35,8 +35,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers), their number, and the text that they decode to."""
-    path = tokenizer_file("byte_bpe_50k.json")
-    encoded = bpe.decode(bpe.encode(docs, path), path)
+    encoded = bpe.round_trip(docs, tokenizer_file("byte_bpe_50k.json"))
     return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 

@@ -42,7 +42,7 @@ from .frames import map_arrow, narrow
 
 U = np.uint64
 #: Code points split at once, and code points of a block of documents.
-PIECE, BLOCK = 1 << 19, 12_000_000
+PIECE, BLOCK = 1 << 18, 8_000_000
 #: White space as the pre-tokenizer sees it (fixed values): U+0009-000D, 0020, 0085, 00A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000.
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
@@ -371,31 +371,37 @@ def gather(ids: np.ndarray, offsets: np.ndarray, places: np.ndarray) -> np.ndarr
     return ids[np.arange(total) + shift]
 
 
-def _join_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block and kind: a block's word ids, then its documents."""
-    key, parts, table, offsets = None, [], None, None
-    for batch in batches:
-        for i in range(batch.num_rows):
-            block, kind, n, places, lengths, data, doc_ids = (c[i].as_py() for c in batch.columns)
-            if block != key:
-                key, parts, table = block, [], None
-            if kind == 0:
-                size = _unpack(lengths, n)
-                parts.append((_unpack(places, n), size, _unpack(data, int(size.sum()))))
-                continue
-            if table is None:
-                table, offsets = _table(parts)
-                parts = []
-            where = _unpack(places, n)
-            if n and int(where.max()) >= len(offsets) - 1:
-                raise RuntimeError("a block has no words: the input changed between two reads")
-            ends = np.cumsum(_unpack(lengths, len(doc_ids)), dtype=np.int64)
-            sums = np.append(0, np.cumsum((offsets[1:] - offsets[:-1])[where]))
-            ids = gather(table, offsets, where)
-            bounds = sums[np.append(0, ends)].tolist()
-            found = [ids[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)]
-            for a in range(0, len(found), 512):
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a : a + 512], pa.int64()), pa.array(found[a : a + 512], pa.binary())], ["doc_id", "ids"])
+def _join_rows(shared=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+    """Rows sorted by block and kind: a block's word ids, then its documents; with their texts if pieces are ``shared``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, table, offsets = None, [], None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, kind, n, places, lengths, data, doc_ids = (c[i].as_py() for c in batch.columns)
+                if block != key:
+                    key, parts, table = block, [], None
+                if kind == 0:
+                    size = _unpack(lengths, n)
+                    parts.append((_unpack(places, n), size, _unpack(data, int(size.sum()))))
+                    continue
+                if table is None:
+                    table, offsets = _table(parts)
+                    parts = []
+                where = _unpack(places, n)
+                if n and int(where.max()) >= len(offsets) - 1:
+                    raise RuntimeError("a block has no words: the input changed between two reads")
+                ends = np.cumsum(_unpack(lengths, len(doc_ids)), dtype=np.int64)
+                sums = np.append(0, np.cumsum((offsets[1:] - offsets[:-1])[where]))
+                ids = gather(table, offsets, where)
+                bounds = sums[np.append(0, ends)].tolist()
+                for a in range(0, len(doc_ids), 256):
+                    found = [ids[x:y].tobytes() for x, y in zip(bounds[a : a + 256], bounds[a + 1 : a + 257], strict=False)]
+                    columns = [pa.array(doc_ids[a : a + 256], pa.int64()), pa.array(found, pa.binary())]
+                    columns += [pa.array([shared.value.text(x) for x in found], pa.string())] if shared is not None else []
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+
+    return run
 
 
 def _table(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -410,15 +416,24 @@ def _table(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     return gather(data, offsets, order), np.append(0, np.cumsum(size[order], dtype=np.int64))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (doc_id, ids) per row: ids as little-endian unsigned 32-bit integers, special strings as the tokenizer takes them."""
+def _blocks_joined(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
     added = vocabulary(path).added
     base = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("part"))  # the scan's own number, also below a union
     words = map_arrow(base, _word_rows(added, max(BUCKETS, _parts(docs))), _WORDS)
     coded = map_arrow(words.repartition(_parts(docs), "bucket").sortWithinPartitions("bucket"), _encode_words(path), _JOINED)
     placed = map_arrow(base, _doc_rows(added), _JOINED)
-    joined = coded.unionByName(placed).repartition(_parts(docs), "block").sortWithinPartitions("block", "kind")
-    return map_arrow(joined, _join_rows, "doc_id long, ids binary")
+    return coded.unionByName(placed).repartition(_parts(docs), "block").sortWithinPartitions("block", "kind")
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row (doc_id, ids) per row: ids as little-endian unsigned 32-bit integers, special strings as the tokenizer takes them."""
+    return map_arrow(_blocks_joined(docs, path, id_col, text_col), _join_rows(), "doc_id long, ids binary")
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row (doc_id, ids, decoded) per row: ``encode``, and the id-to-piece join of ``decode`` in the same worker, so that a task needs one."""
+    shared = docs.sparkSession.sparkContext.broadcast(pieces(path))  # one entry per vocabulary id
+    return map_arrow(_blocks_joined(docs, path, id_col, text_col), _join_rows(shared), "doc_id long, ids binary, decoded string")
 
 
 def _parts(df: DataFrame) -> int:

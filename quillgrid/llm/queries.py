@@ -52,7 +52,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("byte_bpe_50k.json")
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    decoded = bpe.round_trip(table(spark, sf_dir, "documents"), path)
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Bytes of text that are handled at once.
-BLOCK = 1 << 20
+#: Bytes of text that are handled at once, and of which the words are hashed at once.
+BLOCK, PIECE = 1 << 20, 1 << 18
 
 _SEQ = 0xD1342543DE82EF95 | 1
 _PLACES: list[np.ndarray] = []
@@ -122,13 +122,13 @@ def _piece(data: np.ndarray, starts: np.ndarray, sep: np.ndarray, lower: bool) -
 def words(data: np.ndarray, offsets: np.ndarray, kind: str, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end byte of each word, and the n+1 word offsets of the documents."""
     sep = SEPARATORS[kind]
-    if len(data) <= 2 * BLOCK:
+    if len(data) <= 2 * PIECE:
         h, a, b = _piece(data, offsets[:-1], sep, lower) if len(data) else (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    else:  # one huge text, cut where a separator stands
+    else:  # cut where a separator stands
         parts, at = [], 0
         while at < len(data):
-            end = min(len(data), at + BLOCK)
-            step = BLOCK
+            end = min(len(data), at + PIECE)
+            step = PIECE
             while end < len(data):
                 look = sep[LOWER[data[end : end + step]] if lower else data[end : end + step]]
                 if look.any():

@@ -166,7 +166,7 @@ def _count(path: str, chunk: int, overlap: int) -> Callable[[Iterator[pa.RecordB
         model = counter(path)
         for batch in batches:
             data, offsets = tb.raw(batch.column(1))
-            for a, b in tb.runs(offsets, 4 * tb.BLOCK):
+            for a, b in tb.runs(offsets, 2 * tb.BLOCK):
                 texts = [data[x:y].tobytes() for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)]
                 found = model.counts(texts, chunk, overlap)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offsets[a : b + 1])), pa.array(found)], ["doc_id", "n_bytes", "n_tokens"])

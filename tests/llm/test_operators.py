@@ -263,6 +263,7 @@ def test_bpe_round_trip(docs, rows):
         ids = library.encode(t or "", add_special_tokens=False).ids
         expected[(i, np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False))] += 1
     assert collections.Counter((r.doc_id, bytes(r.ids), r.decoded) for r in bpe.decode(bpe.encode(docs, path), path).collect()) == expected
+    assert collections.Counter((r.doc_id, bytes(r.ids), r.decoded) for r in bpe.round_trip(docs, path).collect()) == expected
 
 
 def test_bpe_splitter_on_odd_characters():
