@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import synth
-from .functions import checks, geometry, text
+from .functions import checks, geometry, recognition, text
 from .operators import engine, layout, link, ocrpost, resolve, spatial, summary
 from .operators.rules import candidate
 from .plans import extraction
@@ -183,7 +183,7 @@ def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     shown = F.concat(F.lit("«"), "c_name", F.lit("»,"))
     code = F.concat(F.lit("К-Z "), F.lpad(F.col("c_custkey").cast("string"), 6, "0"))
-    return c.select("c_custkey", text.token(shown).alias("key"), F.concat(F.lit("TOO "), F.upper("c_mktsegment")).alias("name"), text.identifier(code).alias("identifier"), text.organization_key(F.col("c_name")).alias("organization"), text.safe_file_name(F.concat(F.lit("../x/"), "c_name", F.lit(".PDF"))).alias("file_name"))
+    return c.select("c_custkey", text.token(shown).alias("key"), F.concat(F.lit("TOO "), F.upper("c_mktsegment")).alias("name"), recognition.compact(code).alias("identifier"), text.organization_key(F.col("c_name")).alias("organization"), text.safe_file_name(F.concat(F.lit("../x/"), "c_name", F.lit(".PDF"))).alias("file_name"))
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,12 +198,10 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(key.alias("doc_id"), F.when(key % 11 == 9, F.lit("{not json")).otherwise(document).alias("json"))
 
 
-@query("""select c_custkey as doc_id, case c_custkey % 11 when 0 then 0 when 4 then 2 when 10 then 0 else 1 end as n_errors, case c_custkey % 11 when 1 then '$.pages[0].words[0].t: blank' when 2 then '$.pages[0].words[0].c: not between 0 and 1' when 3 then '$.pages[0].words[0].b: four ordered numbers are needed' when 4 then '$.pages[0].words[0].v: no such value'
+@query("""select c_custkey as doc_id, case c_custkey % 11 when 0 then 0 when 4 then 2 when 6 then 2 when 10 then 0 else 1 end as n_errors, case c_custkey % 11 when 1 then '$.pages[0].words[0].t: blank' when 2 then '$.pages[0].words[0].c: not between 0 and 1' when 3 then '$.pages[0].words[0].b: four ordered numbers are needed' when 4 then '$.pages[0].words[0].v: no such value'
 when 5 then '$.values[0].value: blank' when 6 then '$.values[0].page: no such page' when 7 then '$.pages[0].regions[0].words: not a range of the page''s words' when 8 then '$.pages[0].page: pages are numbered from 1 without gaps' when 9 then '$: not JSON' end as first_error from customer""")
 def payload_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = recognised.parse(_payloads(spark, sf_dir))
-    keep = F.filter("errors", lambda e: ~e.startswith("$.values[0].words"))  # follows from a page that doesn't exist
-    return parsed.select("doc_id", F.size(keep).alias("n_errors"), F.get(keep, F.lit(0)).alias("first_error"))
+    return recognised.parse(_payloads(spark, sf_dir)).select("doc_id", F.size("errors").alias("n_errors"), F.get("errors", F.lit(0)).alias("first_error"))
 
 
 @query("""select c_custkey as doc_id, unnest(['слово', 'два']) as word, 'body' as region, unnest([0.9, 0.8]) as confidence from customer where c_custkey % 11 in (0, 10)""")
@@ -221,6 +219,86 @@ def region_of_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("o_orderkey", F.col("i").cast("long").alias("i"), recognised.region_of(F.col("regions"), F.col("i")).alias("region"))
 
 
+# --- recognised text ----------------------------------------------------------------------------------
+
+
+def _cases(spark: SparkSession, sf_dir: str, *made: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, t): a text per customer, of the form that its key picks."""
+    key = F.col("c_custkey")
+    shown = made[0](key)
+    for i, one in enumerate(made[1:], 1):
+        shown = F.when(key % len(made) == i, one(key)).otherwise(shown)
+    return table(spark, sf_dir, "customer").select(key.alias("doc_id"), shown.alias("t"))
+
+
+def _after(*parts: str) -> Callable[[Column], Column]:
+    """A form with the key's six digits for ``{}``."""
+    front, back = parts[0].split("{}")
+    return lambda key: F.concat(F.lit(front), F.lpad(key.cast("string"), 6, "0"), F.lit(back))
+
+
+@query("""select c_custkey as doc_id, ['KZ', 'SWIFT', 'BAZ', 'KZ', 'AB', 'REALI'][c_custkey % 6 + 1] || lpad(cast(c_custkey as varchar), 6, '0') as value from customer""")
+def compact_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = ("КZ {}", "$W|FТ-{}", "ВАЗ№{}", "ＫＺ{}.", "a\u200bb\u00ad–{}", "®€@£!{}")
+    return _cases(spark, sf_dir, *map(_after, forms)).select("doc_id", recognition.compact(F.col("t")).alias("value"))
+
+
+@query("""select c_custkey as doc_id, ['0000', '111111', '2355', '68'][c_custkey % 4 + 1] || lpad(cast(c_custkey as varchar), 6, '0') as value from customer""")
+def recognised_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cases(spark, sf_dir, *map(_after, ("OQDО {}", "IІlL|!{}", "Z З-S$ {}xy", "G/B № {}"))).select("doc_id", recognition.digits(F.col("t")).alias("value"))
+
+
+@query("""select c_custkey as doc_id, case c_custkey % 3 when 0 then 'елка №5' || chr(10) || chr(10) || 'займодавец ' when 1 then 'fin - бик/swift ' else 'бик/swift x ' end || lpad(cast(c_custkey as varchar), 6, '0') as value from customer""")
+def normal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = ("  Ё\u00adлка\t №5 \r\n\r\n\r\n \r\nЗАИМОДАВЕЦ {}\n", "ﬁn — BIK / SWIFT {}", "Вик/Swift\u00a0 x  {}")
+    return _cases(spark, sf_dir, *map(_after, forms)).select("doc_id", recognition.normal_text(F.col("t")).alias("value"))
+
+
+@query(f"""with t as (select o_orderkey, lpad(cast(o_orderkey as varchar), 10, '0') as d, case when o_orderkey % 2 = 0 then lpad(cast(98 - {_REST.format("o_orderkey")} as varchar), 2, '0') else '00' end as k from orders)
+select o_orderkey, 'KZ' || k || '125KZT' || d as value, {_GOOD.format("o_orderkey")} as valid, (length(k || d) - length(replace(k || d, '0', '')))::int as n_corrections from t""")
+def recognised_ibans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    shown = F.concat(F.lit("К2 "), F.translate(synth.check_digits(key), "0", "O"), F.lit(" 125КZТ"), F.translate(synth.digits(key, 10), "0", "Q"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", recognition.iban(shown).alias("x")).select("o_orderkey", "x.value", F.col("x.format_valid").alias("valid"), F.size("x.corrections").alias("n_corrections"))
+
+
+@query("""with t as (select c_custkey, '37040044053201' || lpad(cast(c_custkey % 10000 as varchar), 4, '0') as d from customer) select c_custkey as doc_id, 'DE89' || d as value, 'iban' as format, cast(d || '131489' as hugeint) % 97 = 1 as valid from t""")
+def other_ibans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account numbers of other countries are checked and never changed."""
+    key = F.col("c_custkey")
+    shown = F.concat(F.lit("dе89 37040044053201"), F.lpad((key % 10000).cast("string"), 4, "0"))
+    return table(spark, sf_dir, "customer").select(key.alias("doc_id"), recognition.iban(shown).alias("x")).select("doc_id", "x.value", "x.format", F.col("x.format_valid").alias("valid"))
+
+
+@query("""select c_custkey as doc_id, ['OABCIZ22', 'ZABCKZ2X', '6ABCKZKX', 'ABCDK'][c_custkey % 4 + 1] as value, c_custkey % 4 < 3 as valid, ['position_1:0→O,position_5:1→I', 'position_1:2→Z', '', ''][c_custkey % 4 + 1] as corrections from customer""")
+def recognised_bank_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = [lambda key, t=t: F.lit(t) for t in ("0ABC 1Z22", "2АВСKZ2X", "6ABCKZKX", "abcdk")]
+    return _cases(spark, sf_dir, *plain).select("doc_id", recognition.swift(F.col("t")).alias("x")).select("doc_id", "x.value", F.col("x.format_valid").alias("valid"), F.array_join("x.corrections", ",").alias("corrections"))
+
+
+@query("""select c_custkey as doc_id, k.kind, k.value, k.format, k.status from customer, (values ('bin', '120340005678', 'kz_bin', 'valid'), ('inn', '1203400', 'tax_identifier', 'invalid'), ('okpo', '12345678', 'okpo', 'valid'), ('bik', '123456', 'numeric_bik', 'valid'), ('bic_swift', 'HSBKKZKX', 'swift_bic', 'valid'),
+('account', '1234567890123456', 'kg_numeric_account', 'valid'), ('account', 'AB12CD', 'generic_bank_account', 'unverified'), ('account', 'KZ00125', 'kz_iban', 'invalid'), ('other', 'X1', 'unknown', 'invalid')) k(kind, value, format, status)""")
+def bank_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = (("bin", "12O34ООО5678"), ("inn", "1203400"), ("okpo", "I2З45б78".replace("б", "6")), ("bik", "I23456"), ("bic_swift", "нSВККZКХ"), ("account", "1234 5678 9012 3456"), ("account", "ав12сd".replace("d", "D")), ("account", "К2ОО1Z5".replace("Z", "2")), ("other", "x1"))
+    flat = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("t")) for k, t in rows])))
+    return flat.select("doc_id", "kind", recognition.bank_value(F.col("kind"), F.col("t")).alias("x")).select("doc_id", "kind", "x.value", "x.format", checks.status(F.col("x.format_valid")).alias("status"))
+
+
+def _value_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.lpad(F.col("c_custkey").cast("string"), 12, "0")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(1).alias("page"), F.concat(F.lit("БИН: "), F.translate(key, "0", "О"), F.lit(" SWIFT нSВККZКХ и БИН "), key, F.lit(".")).alias("text"))
+
+
+@query("""select c_custkey as doc_id, type, case type when 'bin' then lpad(cast(c_custkey as varchar), 12, '0') else 'HSBKKZKX' end as value, case type when 'bin' then '1' else '3' end as words, 'бин: ' || lpad(cast(c_custkey as varchar), 12, '0') || ' swift hsbkkzkx и бин ' || lpad(cast(c_custkey as varchar), 12, '0') as normal from customer, (values ('bin'), ('bic_swift')) t(type)""")
+def linked_bank_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values found, put right, counted once, linked with their words, and standing in the page's text."""
+    texts = _value_texts(spark, sf_dir)
+    words = texts.select("doc_id", "page", F.posexplode(F.split("text", " ")).alias("i", "t"))
+    values = ocrpost.scan_values(texts)
+    linked = ocrpost.linked_words(ocrpost.first_values(values), words)
+    return linked.join(ocrpost.with_values(texts, values).select("doc_id", "normal"), "doc_id").select("doc_id", "type", "value", F.array_join("word_ids", ",").alias("words"), "normal")
+
+
 # --- layout and searches ----------------------------------------------------------------------------
 
 _TEXTS = """select o_orderkey as doc_id, unnest(range(0, 15)) as line_no, unnest([
@@ -339,6 +417,18 @@ def engine_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.run(synth.lines(spark, sf_dir, per_customer=True))[1].select("doc_id", "rule_id", "error_type")
 
 
+@query("""select c_custkey as doc_id, r.rule_id, r.error_type from customer, (values ('own.raises', 'KeyError'), ('own.misfit', 'AnalysisException')) r(rule_id, error_type)""")
+def broken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that raise or don't fit the lines become issues of every document; the rule beside them still gives its candidates."""
+    registry = engine.Registry(default=False)
+    registry.register("own.raises", lambda: {}["missing"])
+    registry.register("own.misfit", lambda: F.col("no_such_column"))
+    registry.register("own.good", lambda: F.array(candidate("word", "own.good", F.slice("words", F.lit(1), F.lit(1)), F.lit("a"), F.lit(0.9))))
+    lines = synth.lines(spark, sf_dir, per_customer=True)
+    candidates, issues = registry.run(lines)
+    return issues.join(candidates.select("doc_id").distinct(), "doc_id").select("doc_id", "rule_id", "error_type")
+
+
 def _rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order: a BIN, its exact copy with less confidence, an INN on the same words, and a chain of overlapping names."""
     key = F.col("o_orderkey")
@@ -407,14 +497,12 @@ def blocks_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The as-of join of bank blocks on events: every event goes to the user's last event of the first kind before it, else to the first one."""
     events = table(spark, sf_dir, "events")
     first = events.agg(F.min("event_type").alias("head"))
-    from pyspark.sql.window import Window
-
-    tagged = events.join(F.broadcast(first), events["event_type"] == first["head"], "left")
-    head = F.when(F.col("head").isNotNull(), F.col("event_id"))
-    user = Window.partitionBy("user_id")
-    above = user.orderBy(F.col("ts"), F.col("head").isNull().cast("int"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    opening = F.min_by(head, F.when(head.isNotNull(), F.struct("ts", "event_id"))).over(user)
-    return tagged.withColumn("block", F.coalesce(F.last(head, ignorenulls=True).over(above), opening)).filter("head is null").select("event_id", "block")
+    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
+    shaped = events.join(F.broadcast(first), events["event_type"] == first["head"], "left").select(
+        F.col("user_id").alias("doc_id"), F.lit("").alias("name_key"), F.lit(1).alias("page"), F.lit("body").alias("region"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"),
+        F.when(F.col("head").isNotNull(), "bank_name").otherwise("iban").alias("entity_type"), geometry.box(F.lit(0.0), at, F.lit(0.0), at).alias("bbox"), F.lit(1.0).alias("confidence"),
+    )
+    return link.bank_blocks(shaped).select(F.explode("iban_ids").alias("event_id"), "bank_id").select(F.col("event_id").cast("long"), F.col("bank_id").cast("long").alias("block"))
 
 
 @query("""select c_custkey as doc_id, 'Иванов И.И' as name, 'директор' as position, round((0.20 + 0.40 + 0.25 + 0.098 + 0.25 + 0.50 + 0.098) / 2, 6) as confidence from customer

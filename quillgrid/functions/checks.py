@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import digits_only, identifier, let
+from .text import let
 
 #: Month names in Russian (two cases), Kazakh and English.
 MONTHS = {
@@ -55,35 +55,6 @@ def mod97(c: Column) -> Column:
     return F.when((F.length(c) >= 4) & c.rlike("^[A-Z0-9]+$"), rest == 1)
 
 
-def iban(c: Column) -> Column:
-    """A recognised account number put right: country prefix, digits at places 3 and 4, letters that an account part doesn't hold; then its checks."""
-
-    def build(v: Column) -> Column:
-        prefix = F.regexp_replace(F.substring(v, 1, 2), "^K[23]$", "KZ")
-        check = F.translate(F.substring(v, 3, 2), "OQDILSB", "0001158")
-        account = F.translate(F.substring(v, 5, 100), "OQI", "001")
-        fixed = F.concat(prefix, check, account)
-        return F.struct(fixed.alias("value"), ((F.length(fixed) == 20) & fixed.rlike("^KZ[0-9]{2}[A-HJ-NP-Z0-9]{16}$")).alias("shape"), F.coalesce(mod97(fixed), F.lit(False)).alias("checksum"), (fixed != v).alias("corrected"))
-
-    return let(identifier(c), build)
-
-
-def swift(c: Column) -> Column:
-    """A bank code: digits among the first six become the letters they look like; 8 or 11 characters."""
-    fixed = let(identifier(c), lambda v: F.concat(F.translate(F.substring(v, 1, 6), "01568", "OISGB"), F.substring(v, 7, 100)))
-    return let(fixed, lambda v: F.struct(v.alias("value"), v.rlike("^[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?$").alias("shape")))
-
-
-def bank_value(kind: Column, c: Column) -> Column:
-    """Value and format check of a recognised value of a kind; the check is null where a kind has none."""
-    digits, code = digits_only(c), identifier(c)
-    sized = lambda *n: F.length(digits).isin(*n)
-    value = F.when(kind.isin("bin", "inn", "okpo"), digits).when(kind == "bic_swift", swift(c)["value"]).when(kind == "bik", F.when(F.length(digits) == 6, digits).otherwise(swift(c)["value"])).when(code.startswith("K") & (F.length(code) == 20), iban(c)["value"]).otherwise(code)
-    fine = F.when(kind == "bin", sized(12)).when(kind == "inn", sized(12, 14)).when(kind == "okpo", sized(8)).when(kind == "bic_swift", swift(c)["shape"]).when(kind == "bik", (F.length(digits) == 6) | swift(c)["shape"])
-    account = F.when(code.startswith("K") & (F.length(code) == 20), iban(c)["shape"] & iban(c)["checksum"]).when(code.rlike("^[0-9]{16}$"), True).when(~F.length(code).between(6, 34), False)
-    return F.struct(value.alias("value"), F.when(kind == "account", account).otherwise(fine).alias("format_valid"))
-
-
 def status(format_valid: Column) -> Column:
     return F.when(format_valid.isNull(), "unverified").when(format_valid, "valid").otherwise("invalid")
 

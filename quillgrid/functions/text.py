@@ -82,21 +82,6 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
 
 
-#: Cyrillic capitals that look like Latin ones.
-LOOKALIKES = ("АВСЕНКМОРТХУІ", "ABCEHKMOPTXYI")
-#: Characters that stand for digits in recognised numbers.
-DIGIT_CONFUSABLES = ("OОQDIІLlЗSБB", "000011113568")
-
-
-def identifier(c: Column) -> Column:
-    """Upper case, look-alikes in Latin, A-Z and digits only."""
-    return F.regexp_replace(F.translate(F.upper(c), *LOOKALIKES), "[^A-Z0-9]", "")
-
-
-def digits_only(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, *DIGIT_CONFUSABLES), "[^0-9]", "")
-
-
 def phrases(tokens: Column, aliases: Sequence[tuple[Sequence[str], str]]) -> Column:
     """Leftmost-longest matches that don't overlap: array<struct<s, e, v>>, positions inclusive.
 

@@ -11,6 +11,13 @@ from pyspark.sql.window import Window
 from . import rules
 
 
+class RuleError(RuntimeError):
+    """A rule raised or does not fit the lines."""
+
+
+_DEFAULT = {rule_id: rule for rule_id, rule, _ in rules.RULES}
+
+
 class Registry:
     """Rules by id, in the order in which they were registered."""
 
@@ -38,19 +45,36 @@ class Registry:
     def ids(self) -> list[str]:
         return list(self._rules)
 
-    def run(self, lines: DataFrame, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    def run(self, lines: DataFrame, only: list[str] | None = None, continue_on_error: bool = True) -> tuple[DataFrame, DataFrame]:
         """Candidates and issues of all rules (or of ``only``) over lines.
 
         All rules share one pass over the lines; a window over a region's lines is added
         only if a rule looks at neighbours.  Of candidates with the same value and words
         the first counts, before the least confidence is applied.  A rule that gives one
-        id twice in a document loses its output there, and an issue says so.
+        id twice in a document loses its output there, and an issue says so.  A rule that
+        raises, or whose expression does not fit the lines, gives an issue in every
+        document and spares the other rules, or else ends the run with ``RuleError``.
         """
         chosen = {k: v for k, v in self._rules.items() if only is None or k in only}
         if not chosen:
             raise ValueError("no rule to run")
         frame = rules.with_neighbours(lines) if any(v[2] for v in chosen.values()) else lines
-        tagged = [F.transform(rule(), _tag(k, least)) for k, (rule, least, _) in chosen.items()]
+        frame = frame.withColumn("__hay", rules.hay())
+        tagged, failed = [], []
+        for k, (rule, least, _) in chosen.items():
+            try:
+                found = rule()
+                if rule is _DEFAULT.get(k):
+                    found = F.when(F.col("__hay").rlike(rules.TRIGGERS[k]), found).otherwise(F.array().cast(rules.NONE))
+                else:
+                    found = found.cast(rules.NONE)
+                    frame.select(found)  # fails here, and not with all the others, if it does not fit the lines
+                tagged.append(F.transform(found, _tag(k, least)))
+            except Exception as error:
+                if not continue_on_error:
+                    raise RuleError(f"rule {k} failed: {error}") from error
+                failed.append((k, type(error).__name__, str(error).split("\n")[0]))
+        tagged = tagged or [F.transform(F.array().cast(rules.NONE), _tag("", 0.0))]
         flat = frame.select("doc_id", "page", "region", "line_id", F.col("bbox").alias("line_box"), F.posexplode(F.concat(*tagged)).alias("place", "x"))
         flat = flat.select("doc_id", "page", "region", "line_id", "line_box", "place", "x.rule", "x.least", "x.c.*")
         seen = Window.partitionBy("doc_id", "rule", "page", "value", "word_ids").orderBy("line_box.y1", "line_box.x1", "line_id", "place")
@@ -61,6 +85,9 @@ class Registry:
         order = Window.partitionBy("doc_id").orderBy("page", "bbox.y1", "bbox.x1", "entity_type", "value", "id")
         candidates = checked.filter("not twice").drop("nth", "same", "twice", "rule", "least", "place", "line_box").withColumn("ordinal", F.row_number().over(order))
         issues = checked.filter("twice").groupBy("doc_id", "rule").agg(F.min(F.when(F.col("same") > 1, F.col("id"))).alias("id")).select("doc_id", F.col("rule").alias("rule_id"), F.lit("duplicate_candidate_id").alias("error_type"), F.concat(F.lit("candidate id given twice: "), "id").alias("message"))
+        if failed:
+            broken = F.array(*[F.struct(F.lit(k).alias("rule_id"), F.lit(kind).alias("error_type"), F.lit(message).alias("message")) for k, kind, message in failed])
+            issues = issues.unionByName(lines.select("doc_id").distinct().select("doc_id", F.inline(broken)))
         return candidates, issues
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import geometry
+from ..functions import geometry, recognition
 from ..functions.text import folded
 from ..runtime import ship
 
 MIDDLE, LEAST_GAP, LEAST_WORDS = 0.5, 0.035, 6
 #: Headings above two columns of party details.
-HEADINGS = ("юридические адреса", "реквизиты сторон", "адреса и реквизиты", "банковские реквизиты", "подписи сторон")
+HEADINGS = ("реквизиты сторон", "адреса и реквизиты", "реквизиты и подписи", "банковские реквизиты", "подписи сторон")
 _VALUE = r"[a-zа-яё0-9$§@€£|!®©._/-]"
 #: Kinds of bank values, the pattern in front of them, and the lengths they may have, in the order of search.
 VALUE_PATTERNS = (("bin", r"(?:б\s*[иі]\s*н|b\s*i\s*n|b\s*ин)", 8, 24), ("inn", r"(?:инн|inn)", 8, 24), ("okpo", r"(?:окпо|okpo)", 6, 16), ("bic_swift", r"(?:бик\s*/\s*swift|bic\s*/\s*swift|swift)", 6, 15), ("bik", r"(?:бик|bic)", 5, 15), ("account", r"(?:р\s*/\s*с(?:чет)?|расч[её]тный\s+сч[её]т|сч[её]т|account|iban)", 6, 40))
@@ -83,13 +84,16 @@ def text_spans(pages: DataFrame) -> DataFrame:
 
 
 def scan_values(texts: DataFrame) -> DataFrame:
-    """Bank values in texts (doc_id, page, text): (doc_id, page, type, start, end, value).
+    """Bank values in texts (doc_id, page, text): (doc_id, page, type, start, end, raw, value, format, format_valid, corrections).
 
-    A value that overlaps one of an earlier pattern is left out.  Spans of groups are
-    needed, which the built-in functions do not give, so this is an Arrow-batched map.
+    A value that overlaps one of an earlier pattern is left out, and one of which
+    nothing is left when it is put right does not count.  Spans of groups are needed,
+    which the built-in functions do not give, so this is an Arrow-batched map.
     """
     ship(texts.sparkSession)
     patterns = [(kind, re.compile(rf"(?i)(?<![\w]){front}\s*[:№#-]?\s*({_VALUE}{{{low},{high}}})")) for kind, front, low, high in VALUE_PATTERNS]
+    numeric = re.compile(rf"[0-9{re.escape(recognition.DIGIT_LOOKALIKES[0])}]")
+    letters = re.compile(rf"[0-9A-Za-z{re.escape(recognition.SIGNS[0])}{recognition.LOOKALIKES[0]}]")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -99,11 +103,43 @@ def scan_values(texts: DataFrame) -> DataFrame:
                 for kind, pattern in patterns:
                     for m in pattern.finditer(text or ""):
                         a, b = m.span(1)
-                        value = m.group(1).strip(".,;:-_/")
-                        if value and not any(a < y and x < b for x, y in taken):
+                        raw = m.group(1).strip(".,;:()[]{}")
+                        holds = numeric if kind in ("bin", "inn", "okpo") else letters
+                        if holds.search(unicodedata.normalize("NFKC", raw)) and not any(a < y and x < b for x, y in taken):
                             taken.append((a, b))
-                            rows.append((doc_id, page, kind, a, b, value))
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "type", "start", "end", "value"])
+                            rows.append((doc_id, page, kind, a, b, raw))
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "type", "start", "end", "raw"])
 
     kind = dict(texts.dtypes)["doc_id"]
-    return texts.select("doc_id", "page", "text").mapInPandas(run, f"doc_id {kind}, page int, type string, start int, end int, value string")
+    found = texts.select("doc_id", "page", "text").mapInPandas(run, f"doc_id {kind}, page int, type string, start int, end int, raw string")
+    return found.withColumn("x", recognition.bank_value(F.col("type"), F.col("raw"))).select("doc_id", "page", "type", "start", "end", "raw", "x.value", "x.format", "x.format_valid", "x.corrections")
+
+
+def first_values(values: DataFrame) -> DataFrame:
+    """One row per document, page, type and value: the first place."""
+    order = Window.partitionBy("doc_id", "page", "type", "value").orderBy("start", "end")
+    return values.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
+
+
+def linked_words(values: DataFrame, words: DataFrame, most: int = 8) -> DataFrame:
+    """``values`` with ``word_ids``: the first run of a page's words (doc_id, page, i, t) whose identifiers, joined, are the value's; words without one are passed over."""
+    coded = words.withColumn("code", recognition.compact(F.col("t"))).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("i", "code"))).alias("ws"))
+    target = recognition.compact(F.col("raw"))
+
+    def at(s: Column) -> Column:
+        some = F.filter(F.slice("ws", s, F.lit(most)), lambda w: w["code"] != "")
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(some), F.lit(1))), lambda k: F.array_join(F.transform(F.slice(some, F.lit(1), k), lambda w: w["code"]), "") == F.col("target"))
+        return F.when(F.size(ends) > 0, F.transform(F.slice(some, F.lit(1), F.get(ends, F.lit(0))), lambda w: w["i"]))
+
+    joined = values.withColumn("target", target).join(coded, ["doc_id", "page"], "left")
+    none = F.array().cast("array<int>")
+    found = F.get(F.filter(F.transform(F.sequence(F.lit(1), F.size("ws")), at), lambda x: x.isNotNull()), F.lit(0))
+    return joined.withColumn("word_ids", F.when((F.col("target") != "") & (F.size("ws") > 0), F.coalesce(found.cast("array<int>"), none)).otherwise(none)).drop("ws", "target")
+
+
+def with_values(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """``texts`` (doc_id, page, text) with ``normal``: the values put right in place, from right to left, then the text's normal form."""
+    some = values.groupBy("doc_id", "page").agg(F.reverse(F.array_sort(F.collect_list(F.struct("start", "end", F.lower("value").alias("v"))))).alias("vs"))
+    put = lambda t, x: F.concat(t.substr(F.lit(1), x["start"]), x["v"], t.substr(x["end"] + 1, F.length(t)))
+    replaced = texts.join(some, ["doc_id", "page"], "left").withColumn("put", F.when(F.col("vs").isNull(), F.col("text")).otherwise(F.aggregate("vs", F.col("text"), put)))
+    return replaced.withColumn("normal", recognition.normal_text(F.col("put"))).drop("vs", "put")

@@ -12,6 +12,7 @@ index on the page, text, text for searching, confidence, box and recognised valu
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -64,7 +65,7 @@ ADDRESS_ANCHORS = (("юридический", "адрес"), ("почтовый"
 ADDRESS_WORDS = "республика область район город г улица ул проспект пр переулок пер шоссе набережная дом д корпус корп строение стр квартира кв офис помещение микрорайон мкр село аул поселок city street avenue road building office district region".split()
 COUNTRY_WORDS = "казахстан россия кыргызстан узбекистан республика kz ru kg".split()
 ADDRESS_STOPS = "бин иин инн бик swift bic iban иик р/с к/с счет account банк bank телефон тел email e-mail директор подпись".split()
-#: Anchors and lengths of tax numbers.
+#: Fixed values (as all lists of words from here and above): anchors and lengths of tax numbers.
 TAX_IDS = {"bin": ("tax_id.bin.anchor_right.v2", ("бин", "бсн"), (12,)), "iin": ("tax_id.iin.anchor_right.v1", ("иин", "жсн"), (12,)), "inn": ("tax_id.inn.anchor_right.v1", ("инн",), (10, 12, 14))}
 BIK_ANCHORS = ("бик", "bik", "мфо")
 SWIFT_ANCHORS = ("swift", "bic", "бик/swift", "swift/бик", "bik/swift", "swift/bik", "bic/swift", "swift/bic")
@@ -74,7 +75,8 @@ NUMBER_SIGNS = ("№", "n", "no")
 
 
 def _in(c: Column, words: Sequence[str]) -> Column:
-    return c.isin(list(words))
+    """Membership by one pattern: a list of literals would make the plan long."""
+    return c.rlike(rf"\A(?:{'|'.join(re.escape(w) for w in words)})\z")
 
 
 def _tokens(normalise: Callable[[Column], Column], words: Column | str = "words") -> Column:
@@ -520,5 +522,35 @@ RULES: tuple[tuple[str, Callable[[], Column], float], ...] = (
     ("tax_id.bin.anchor_right.v2", lambda: tax_ids("bin"), 0.40), ("tax_id.iin.anchor_right.v1", lambda: tax_ids("iin"), 0.40), ("tax_id.inn.anchor_right.v1", lambda: tax_ids("inn"), 0.40),
     ("bank.bik.anchor_right.v1", bik, 0.45), ("bank.bic_swift.anchor_right.v1", swift, 0.45), ("bank.iban.kz.anchor_right.v1", kz_iban, 0.45), ("bank.account.anchor_right.v1", bank_accounts, 0.45),
 )
+
+
+def hay() -> Column:
+    """A line's text for triggers: lower case, ё as е, one slash for a run of slashes of either kind."""
+    return F.regexp_replace(F.translate(_line_text(), "ё\\", "е/"), "/+", "/")
+
+
+def _any(words: Sequence[str]) -> str:
+    """A pattern for one of some words, each between characters that are no letters or digits."""
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted({re.escape(w.replace('ё', 'е')) for w in words}))})(?![\p{{L}}\p{{N}}])"
+
+
+#: What a line must hold for a rule to find anything in it: a cheap test that spares most lines the rule.
+TRIGGERS = {
+    "document.date.patterns.v1": "[0-9]{4}",
+    "document.money_amount.currency.v1": _any([a[0] for a, _ in CURRENCIES]),
+    "document.percentage.patterns.v1": "%|процент|percent",
+    "legal.organization.legal_form.v2": _any([a[0] for a, _ in LEGAL_FORMS]),
+    "legal.bank_name.context.v2": "банк|bank",
+    "legal.position.dictionary.v2": _any([a[0] for a, _ in POSITIONS]),
+    "legal.person_name.context.v2": _any(PERSON_CONTEXT),
+    "legal.address.context.v1": "|".join(("[0-9]{5,6}", "/", _any([a[0] for a in ADDRESS_ANCHORS]), _any([*ADDRESS_WORDS, *COUNTRY_WORDS]))),
+    "tax_id.bin.anchor_right.v2": _any(TAX_IDS["bin"][1]),
+    "tax_id.iin.anchor_right.v1": _any(TAX_IDS["iin"][1]),
+    "tax_id.inn.anchor_right.v1": _any(TAX_IDS["inn"][1]),
+    "bank.bik.anchor_right.v1": _any(BIK_ANCHORS),
+    "bank.bic_swift.anchor_right.v1": _any(SWIFT_ANCHORS),
+    "bank.iban.kz.anchor_right.v1": _any([a[0] for a in IBAN_ANCHORS]),
+    "bank.account.anchor_right.v1": _any([a[0] for a in ACCOUNT_ANCHORS]),
+}
 #: Rules that look at other lines.
 CROSS_LINE = {"legal.organization.legal_form.v2", "legal.bank_name.context.v2", "legal.position.dictionary.v2", "legal.person_name.context.v2", "legal.address.context.v1"}
