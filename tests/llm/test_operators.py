@@ -91,6 +91,14 @@ def test_near_duplicates(docs, rows):
     assert sorted(k for k in kept if k is not None) == sorted({find(i) for i in sets}) and kept.count(None) == 1
 
 
+def test_banding_misses_no_short_pairs_at_the_limit():
+    n = 100_000
+    key = np.sort(np.random.default_rng(7).integers(0, 1 << 63, size=(n, 4), dtype=np.uint64), axis=1)
+    a = neardup.band_keys(neardup.superminhash(key.ravel(), np.arange(n + 1) * 4))
+    b = neardup.band_keys(neardup.superminhash(key[:, :3].ravel(), np.arange(n + 1) * 3))
+    assert (~(a == b).any(axis=1)).sum() <= 2
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 62, 600).astype(np.uint64)
