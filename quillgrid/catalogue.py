@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import synth
 from .functions import checks, geometry, recognition, text
-from .operators import engine, layout, link, ocrpost, resolve, spatial, summary
+from .operators import engine, labels, layout, link, ocrpost, payloads, resolve, spatial, summary
 from .operators.rules import candidate
 from .plans import extraction
 from .runtime import cut
@@ -209,6 +209,34 @@ def word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognised.words(recognised.parse(_payloads(spark, sf_dir))).select("doc_id", F.col("word.t").alias("word"), "region", F.col("word.c").alias("confidence"))
 
 
+@query("select c_custkey as doc_id, case c_custkey % 11 when 9 then 0 else 1 end as pages, case c_custkey % 11 when 9 then 0 else 2 end as words, case c_custkey % 11 when 9 then 0 else 1 end as regions, case c_custkey % 11 when 9 then 0 else 1 end as n_values from customer")
+def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognised.counts(recognised.parse(_payloads(spark, sf_dir))).withColumnRenamed("values", "n_values")
+
+
+@query("""select c_custkey as doc_id, unnest(['word of value', 'value of word', 'value of word', 'word of region', 'word of region']) as kind, unnest([0, 0, 1, 0, 1]) as i, unnest(['слово', '1', '1', 'слово', 'два']) as shown from customer where c_custkey % 11 in (0, 10)""")
+def document_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of a value, the values of a word and the words of a region, of usable documents."""
+    documents = recognised.good(recognised.parse(_payloads(spark, sf_dir)))
+    rows = lambda df, kind, shown: df.select("doc_id", F.lit(kind).alias("kind"), "i", F.col(shown).alias("shown"))
+    return rows(recognised.words_of_values(documents), "word of value", "t").unionByName(rows(recognised.values_of_words(documents), "value of word", "value")).unionByName(rows(recognised.words_in_region(documents, "BODY"), "word of region", "t"))
+
+
+@query("""select c_custkey as doc_id, case c_custkey % 6 when 1 then 'UNSUPPORTED_FORMAT' when 2 then 'INVALID_MIME_TYPE' when 3 then 'EMPTY_FILE' when 4 then 'INVALID_PDF' when 5 then 'FILE_TOO_LARGE' end as error_code from customer""")
+def checked_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey") % 6
+    shown = F.when(k == 3, "").when(k == 4, "GIF89a").otherwise("%PDF-1.7")
+    path = F.concat(F.col("c_custkey").cast("string"), F.when(k == 1, ".docx").otherwise(".PDF"))
+    stated = F.when(k == 2, "image/png").when(k == 0, "Application/PDF; q=1")
+    files = table(spark, sf_dir, "customer").select(path.alias("path"), F.when(k == 5, 2000).otherwise(F.length(shown)).alias("length"), F.encode(shown, "UTF-8").alias("content"), stated.alias("content_type"))
+    return recognised.uploads(files, max_bytes=1000).select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), "error_code")
+
+
+@query("select l_orderkey as job_id, count(*) as files from lineitem group by l_orderkey having count(*) > 5")
+def too_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognised.too_many(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id")), 5)
+
+
 @query("""with w as (select o_orderkey, unnest(range(0, 6)) as i, cast(o_orderkey % 5 as bigint) as k from orders), r as (select w.*, r.* from w, lateral (values (0, 'page', 0, 6), (1, 'block', k, k + 3), (2, 'cell', k + 1, k + 2)) r(n, type, a, b) where i >= a and i < b)
 select o_orderkey, i, type as region from (select *, row_number() over (partition by o_orderkey, i order by b - a, n) as nth from r) where nth = 1""")
 def region_of_word(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,9 +364,9 @@ def words_right(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.words_beside(synth.lines(spark, sf_dir), right=True, limit=2).select("doc_id", long("i"), long("other"), long("nth"))
 
 
-@query(f"select doc_id, text, lead(text) over (partition by doc_id, region order by line_no) as next_text from ({_TEXTS}) where region <> 'body' qualify next_text is not null")
+@query(f"select doc_id, text, lead(text) over (partition by doc_id, region order by line_no) as next_text from ({_TEXTS}) qualify next_text is not null")
 def lines_below(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = synth.lines(spark, sf_dir).filter("region <> 'body'")
+    lines = synth.lines(spark, sf_dir)
     found = spatial.lines_beside(lines, below=True, limit=1)
     t = lines.select("doc_id", "line_id", "text")
     return found.join(t, ["doc_id", "line_id"]).join(t.select("doc_id", F.col("line_id").alias("other"), F.col("text").alias("next_text")), ["doc_id", "other"]).select("doc_id", "text", "next_text")
@@ -406,6 +434,47 @@ def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.document_quality(summary.page_quality(words)).select("doc_id", "pages", "words", "average")
 
 
+@query(f"select doc_id, w.i, t.word, t.region, t.text from (select o_orderkey as doc_id, unnest([33, 15]) as i from orders) w left join (select doc_id, i, word, region, text from (select doc_id, line_no, region, text, line_no * 16 + pos as i, string_split(text, ' ')[pos + 1] as word from (select *, unnest(range(0, len(string_split(text, ' ')))) as pos from ({_TEXTS})))) t using (doc_id, i)")
+def looked_up_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words by their places, with the text of their line; a place without a word finds none."""
+    lines = synth.lines(spark, sf_dir)
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.explode(F.array(F.lit(33), F.lit(15))).alias("i"))
+    words = spatial.get_words(lines, wanted).select("doc_id", "i", "line_id", F.col("word.t").alias("word"))
+    return spatial.get_lines(lines, words).select("doc_id", "i", "word", "region", "text")
+
+
+@query(f"select doc_id, text from ({_TEXTS}) where region = 'left_column'")
+def region_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = synth.lines(spark, sf_dir)
+    return spatial.lines_in_region(lines, "left_column", 1).unionByName(spatial.lines_in_region(lines, None)).select("doc_id", "text")
+
+
+@query(f"select a.doc_id, a.i, b.i as other from {_WORDS} a join {_WORDS} b on a.doc_id = b.doc_id and a.line_no = b.line_no and b.pos <> a.pos")
+def same_line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return spatial.words_on_same_line(synth.lines(spark, sf_dir)).select("doc_id", long("i"), long("other"))
+
+
+@query("""with t as (select c_custkey as doc_id, c_custkey % 6 as k from customer) select doc_id, 'w' || k || case when k <> 0 then ',w0' else '' end || ',' || array_to_string(list_transform(list_filter(range(0, 6), lambda x: x <> k and x <> 0), lambda x: 'w' || x), ',') as words, 'A:0-1,B:1-' || case when k <> 0 then '2' else '1' end as regions, case when k = 5 then 0 else 5 end as at_5 from t""")
+def reordered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (F.col("c_custkey") % 6).cast("string")
+    words = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.struct(F.concat(F.lit("w"), i.cast("string")).alias("id")))
+    mine = F.concat(F.lit("w"), key)
+    regions = F.array(F.struct(F.lit("A").alias("type"), F.array(mine).alias("word_ids")), F.struct(F.lit("B").alias("type"), F.array(F.lit("w0"), mine, F.lit("w9")).alias("word_ids")))
+    out = ocrpost.reordered(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(1).alias("page"), words.alias("words"), regions.alias("regions")))
+    spans = F.transform("regions", lambda r: F.concat(r["type"], F.lit(":"), r["start"].cast("string"), F.lit("-"), r["end"].cast("string")))
+    return out.select("doc_id", F.array_join(F.transform("words", lambda w: w["id"]), ",").alias("words"), F.array_join(spans, ",").alias("regions"), F.col("word_index")["w5"].alias("at_5"))
+
+
+@query("""with p as (select c_custkey as doc_id, unnest([1, 2, 3]) as page from customer), s as (select *, (doc_id + page) % 3 as n from p), b as (select *, coalesce(sum(n) over (partition by doc_id order by page rows between unbounded preceding and 1 preceding), 0) as before from s)
+select doc_id, page, place, cast(before + place as int) as idx from (select *, unnest(range(0, n)) as place from b)""")
+def value_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = ((F.col("doc_id") + F.col("page")) % 3).cast("int")
+    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("page"))
+    values = F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), n)
+    return ocrpost.global_values(pages.withColumn("values", values)).select("doc_id", "page", "place", F.col("index").alias("idx"))
+
+
 # --- engine and resolution --------------------------------------------------------------------------
 
 
@@ -530,12 +599,83 @@ def result_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir)["results"].select("doc_id", "entity_count", "status", F.size("warnings").alias("warnings"))
 
 
-@query("""select c_custkey as doc_id, 'loan_agreement' as type, 21 as entities, 2 as parties, 'lender' as first_role from customer""")
+@query(f"""select c_custkey as doc_id, 'success_with_warnings' as status, 'loan_agreement' as type, 21 as entities, '2' as parties, 'lender' as first_role, 1 as representatives, 1 as banks, 1 as codes, 0 as swifts, 1 as accounts, 1 as unassigned, case when {_GOOD.format('c_custkey')} then '1' else '2' end as warnings, true as dated, '12.5' as source_size, '{{}}' as seconds from customer""")
 def production_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _run(spark, sf_dir)
-    out = summary.production(found["entities"], found["parties"], found["summary"])
+    source = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(12.5).alias("size"))
+    out = payloads.production(_run(spark, sf_dir), source)
     get = lambda p: F.get_json_object("result", p)
-    return out.select("doc_id", get("$.document.type").alias("type"), F.size(F.map_keys(F.from_json(get("$.entity_registry"), "map<string,string>"))).alias("entities"), F.json_array_length(get("$.parties")).alias("parties"), get("$.parties[0].role").alias("first_role"))
+    n = lambda p: F.json_array_length(get(p))
+    date = F.get_json_object(get("$.entity_registry"), "$").contains(F.concat(F.lit('"'), get("$.document.contract_date_entity_id"), F.lit('":{')))
+    return out.select(
+        "doc_id", get("$.summary.status").alias("status"), get("$.document.type").alias("type"), F.size(F.map_keys(F.from_json(get("$.entity_registry"), "map<string,string>"))).alias("entities"), get("$.summary.party_count").alias("parties"), get("$.parties[0].role").alias("first_role"),
+        n("$.parties[1].representatives").alias("representatives"), n("$.parties[0].bank_details").alias("banks"), n("$.parties[0].bank_details[0].bik_entity_ids").alias("codes"), n("$.parties[0].bank_details[0].swift_entity_ids").alias("swifts"), n("$.parties[0].bank_details[0].account_entity_ids").alias("accounts"),
+        n("$.unassigned_entity_ids").alias("unassigned"), get("$.summary.warning_count").alias("warnings"), date.alias("dated"), get("$.source.size").alias("source_size"), get("$.metadata.processing_seconds").alias("seconds"),
+    )
+
+
+@query("""select c_custkey as doc_id, 21 as entities, 1 as unassigned, 0 as rejected, 0 as rule_issues, 'true' as successful, '21' as counted, strftime(date '1995-01-01' + cast(c_custkey % 2000 as int), '%Y-%m-%d') as first_value, 'document.date.patterns.v1' as first_rule from customer""")
+def debug_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = payloads.debug(_run(spark, sf_dir))
+    get = lambda p: F.get_json_object("result", p)
+    n = lambda p: F.json_array_length(get(p))
+    return out.select("doc_id", n("$.entities").alias("entities"), n("$.unassigned_entities").alias("unassigned"), n("$.rejected_candidates").alias("rejected"), n("$.rule_issues").alias("rule_issues"), get("$.summary.successful").alias("successful"), get("$.summary.entity_count").alias("counted"), get("$.entities[0].value").alias("first_value"), get("$.entities[0].rule_id").alias("first_rule"))
+
+
+@query("""select c_custkey as doc_id, cast(c_custkey as varchar) as document_id, c_name || '.pdf' as name, 'completed' as status, '1' as pages, c_comment as recognised, 21 as entities, 'date' as first_type, 'lender' as first_role, 'out/' || c_custkey as saved, 0 as errors from (select *, c_mktsegment as c_comment from (select c_custkey, c_name, c_mktsegment from customer))""")
+def final_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _run(spark, sf_dir)
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    documents = c.select(key.alias("doc_id"), F.concat("c_name", F.lit(".pdf")).alias("source_file_name"), F.lit("completed").alias("status"), F.lit(1).alias("page_count"), F.create_map(F.lit("result_json"), F.concat(F.lit("out/"), key)).alias("output_files"), F.array().cast("array<string>").alias("errors"), F.create_map(F.lit("total"), F.lit(0.5)).alias("timing"))
+    recognised_json = c.select(key.alias("doc_id"), F.to_json(F.struct(F.col("c_mktsegment").alias("document_text"))).alias("json"))
+    out = payloads.final(documents, recognised_json, found, payloads.production(found))
+    get = lambda p: F.get_json_object("payload", p)
+    return out.select("doc_id", get("$.document_id").alias("document_id"), get("$.source_file_name").alias("name"), get("$.status").alias("status"), get("$.page_count").alias("pages"), get("$.ocr_result.document_text").alias("recognised"), F.json_array_length(get("$.extracted_entities")).alias("entities"), get("$.extracted_entities[0].type").alias("first_type"), get("$.extraction_result.parties[0].role").alias("first_role"), get("$.output_files.result_json").alias("saved"), F.json_array_length(get("$.errors")).alias("errors"))
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job per customer; its orders are the documents."""
+    key = F.col("o_orderkey")
+    saved = F.create_map(F.lit("result_json"), F.when(key % 2 == 0, F.lit("a.json")).otherwise(""))
+    document = F.struct(key.cast("string").alias("document_id"), F.lit("completed").alias("status"), F.lit("secret/").alias("source_path"), saved.alias("output_files"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("job_id")).agg(F.collect_list(document).alias("documents")).withColumn("archive_path", F.when(F.col("job_id") % 3 == 0, F.lit("a.zip")))
+
+
+@query("""select o_custkey as job_id, case when o_custkey % 3 = 0 then '/api/jobs/' || o_custkey || '/download' end as download_url, cast(o_orderkey as varchar) as document_id, cast(null as varchar) as annotated, case when o_orderkey % 2 = 0 then '/api/documents/' || o_orderkey || '/json' end as json, 'document_id,downloads,status' as fields from orders""")
+def public_job_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = payloads.public_jobs(_jobs(spark, sf_dir))
+    fields = ",".join(sorted(shown.schema["documents"].dataType.elementType.names))
+    flat = shown.select("job_id", "download_url", F.explode("documents").alias("d"))
+    return flat.select("job_id", "download_url", "d.document_id", F.col("d.downloads.annotated_document").alias("annotated"), F.col("d.downloads.result_json").alias("json"), F.lit(fields).alias("fields"))
+
+
+@query("select distinct cast(l_orderkey as varchar) as document_id, o_custkey as job_id, 'completed' as status from lineitem join orders on l_orderkey = o_orderkey")
+def found_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("document_id"))
+    return payloads.find_documents(_jobs(spark, sf_dir), wanted).select("document_id", "job_id", F.col("document.status").alias("status"))
+
+
+@query("select c_custkey as doc_id, unnest(['date', 'date', 'money_amount']) as entity_type from customer")
+def filtered_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine.extract(synth.lines(spark, sf_dir, per_customer=True), ["document.date.patterns.v1", "document.money_amount.currency.v1", "document.percentage.patterns.v1"])
+    return payloads.filtered(found, include=["DATE", "money_amount", "percentage"], exclude=["Percentage"], pages=[1]).select("doc_id", "entity_type")
+
+
+@query("select c_custkey as doc_id, 3 as candidate_count, 0 as issue_count, true as successful, 2 as executed_rule_count, 'date,percentage' as entity_types, 2 as dates from customer")
+def engine_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, rules = synth.lines(spark, sf_dir, per_customer=True), ["document.date.patterns.v1", "document.percentage.patterns.v1"]
+    candidates, issues = engine.Registry().run(lines, rules)
+    candidates = cut(candidates)
+    dates = payloads.of_type(candidates, "Date").groupBy("doc_id").agg(F.count("*").alias("dates"))
+    return payloads.engine_summary(lines, candidates, issues, rules).withColumn("entity_types", F.array_join("entity_types", ",")).join(dates, "doc_id")
+
+
+@query("""select c_custkey as doc_id, unnest([1, 2, 3]) as number, c_custkey % 500 + 100 as x1, unnest([88, 122, 100]) as y1, c_custkey % 500 + 140 as x2, unnest([98, 132, 110]) as y2 from customer""")
+def label_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three labels of one box: above it, below it, and inside."""
+    x = (F.col("c_custkey") % 500 + 100).cast("int")
+    i = lambda v, name: F.lit(v).cast("int").alias(name)
+    boxes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), i(1, "page"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("number"), x.alias("x1"), i(100, "y1"), (x + 50).alias("x2"), i(120, "y2"), i(40, "width"), i(10, "height"), i(1000, "page_width"), i(1000, "page_height"))
+    return labels.place(boxes).select("doc_id", "number", "x1", "y1", "x2", "y2")
 
 
 @query("""select 'owner' as by, 'none' as key, count(*) * 5 as n from customer union all select 'owner', 'lender', count(*) * 8 from customer union all select 'owner', 'borrower', count(*) * 8 from customer union all select 'page', '1', count(*) * 21 from customer

@@ -143,3 +143,33 @@ def with_values(texts: DataFrame, values: DataFrame) -> DataFrame:
     put = lambda t, x: F.concat(t.substr(F.lit(1), x["start"]), x["v"], t.substr(x["end"] + 1, F.length(t)))
     replaced = texts.join(some, ["doc_id", "page"], "left").withColumn("put", F.when(F.col("vs").isNull(), F.col("text")).otherwise(F.aggregate("vs", F.col("text"), put)))
     return replaced.withColumn("normal", recognition.normal_text(F.col("put"))).drop("vs", "put")
+
+
+def reordered(pages: DataFrame) -> DataFrame:
+    """Pages (doc_id, page, words, regions) with words in the order of their regions.
+
+    ``words`` are structs with an id, ``regions`` structs of type and word_ids.  A word
+    that several regions name belongs to the first, ids without a word are passed over,
+    and words outside all regions come last.  Gives words, regions as (type, start, end)
+    of the new order, and word_index (id to place); no shuffle.
+    """
+    ids = F.transform("words", lambda w: w["id"])
+
+    def take(got: Column, r: Column) -> Column:
+        fresh = F.array_except(F.array_intersect(r["word_ids"], F.col("known")), got["ids"])
+        span = F.struct(r["type"].alias("type"), F.size(got["ids"]).alias("start"), (F.size(got["ids"]) + F.size(fresh)).alias("end"))
+        return F.struct(F.concat(got["ids"], fresh).alias("ids"), F.concat(got["spans"], F.array(span)).alias("spans"))
+
+    start = F.struct(F.array().cast("array<string>").alias("ids"), F.array().cast("array<struct<type:string,start:int,end:int>>").alias("spans"))
+    taken = pages.withColumn("known", ids).withColumn("got", F.aggregate("regions", start, take))
+    ordered = taken.withColumn("order", F.concat("got.ids", F.array_except("known", "got.ids")))
+    words = F.transform("order", lambda k: F.get(F.col("words"), F.array_position("known", k).cast("int") - 1))
+    index = F.map_from_entries(F.transform("order", lambda k, i: F.struct(k, i)))
+    return ordered.select("doc_id", "page", words.alias("words"), F.col("got.spans").alias("regions"), index.alias("word_index"))
+
+
+def global_values(pages: DataFrame) -> DataFrame:
+    """Values of pages (doc_id, page, values) with their place in the whole document: (doc_id, page, place, index, value)."""
+    sized = pages.withColumn("before", F.coalesce(F.sum(F.size("values")).over(Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    flat = sized.select("doc_id", "page", "before", F.posexplode("values").alias("place", "value"))
+    return flat.select("doc_id", "page", "place", (F.col("before") + F.col("place")).cast("int").alias("index"), "value")

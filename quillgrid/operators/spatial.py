@@ -31,6 +31,34 @@ def index_errors(lines: DataFrame) -> DataFrame:
     return words.unionByName(ids).filter("n > 1")
 
 
+def get_words(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (doc_id, page, i) with line_id, region and word, null for a word that no line holds."""
+    some = explode_words(lines).select("doc_id", "page", F.col("word.i").alias("i"), "line_id", "region", "word")
+    return wanted.join(some, ["doc_id", "page", "i"], "left")
+
+
+def get_lines(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (doc_id, line_id) with the lines' columns, null for a line that is not there."""
+    return wanted.join(lines, ["doc_id", "line_id"], "left")
+
+
+def lines_on_page(lines: DataFrame, page: int) -> DataFrame:
+    return lines.filter(F.col("page") == page)
+
+
+def lines_in_region(lines: DataFrame, region: str | None, page: int | None = None) -> DataFrame:
+    """Lines of a region; None asks for lines outside all regions."""
+    held = lines.filter(F.col("region").eqNullSafe(F.lit(region)))
+    return held if page is None else lines_on_page(held, page)
+
+
+def words_on_same_line(lines: DataFrame, include_self: bool = False) -> DataFrame:
+    """For every word the words of its line: (doc_id, page, line_id, i, other); no shuffle."""
+    flat = lines.select("doc_id", "page", "line_id", F.explode(F.transform("words", lambda w: w["i"])).alias("i"), F.transform("words", lambda w: w["i"]).alias("others"))
+    pairs = flat.select("doc_id", "page", "line_id", "i", F.explode("others").alias("other"))
+    return pairs if include_self else pairs.filter("i <> other")
+
+
 def _limited(found: DataFrame, keys: list[str], order: list[Column], limit: int | None) -> DataFrame:
     ranked = found.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col("nth") <= limit) if limit is not None else ranked

@@ -66,18 +66,6 @@ def results(documents: DataFrame, entities: DataFrame, warnings: DataFrame, issu
     return joined.select("doc_id", n("entity_count").alias("entity_count"), n("issue_count").alias("issue_count"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"), status.alias("status"))
 
 
-def production(entities: DataFrame, parties: DataFrame, summary: DataFrame) -> DataFrame:
-    """One JSON per document: each entity once in a registry, references by id elsewhere, empty fields left out."""
-    compact = F.struct("id", F.col("entity_type").alias("type"), "value", "raw_value", "page", geometry.to_array(F.col("bbox")).alias("bbox"), "word_ids", F.when(F.size("anchor_word_ids") > 0, F.col("anchor_word_ids")).alias("anchor_word_ids"), F.round("confidence", 6).alias("confidence"), "validation", F.when(F.size("metadata") > 0, F.col("metadata")).alias("metadata"))
-    registry = entities.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("id"), compact.alias("e")))).alias("entity_registry"))
-    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
-    party = F.struct(F.col("place"), F.struct(F.col("party_id").alias("id"), "role", F.col("organization_id").alias("organization_entity_id"), some("identifier_ids"), some("address_ids"), F.round("confidence", 6).alias("confidence"), some("warnings")).alias("p"))
-    sides = parties.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(party)), lambda x: x["p"]).alias("parties"))
-    document = F.struct("type", *[F.col(k)["id"].alias(f"{k}_entity_id") for k in SUMMARY_ROLES])
-    joined = registry.join(sides, "doc_id", "left").join(summary, "doc_id", "left")
-    return joined.select("doc_id", F.to_json(F.struct(document.alias("document"), "parties", "entity_registry")).alias("result"))
-
-
 def owners(parties: DataFrame) -> DataFrame:
     """(doc_id, id, owner): an entity that several parties name belongs to the last one."""
     named = parties.select("doc_id", "role", "place", "party_id", F.explode(F.array_distinct(F.concat("organization_ids", "assigned_ids"))).alias("id"))

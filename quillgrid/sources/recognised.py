@@ -109,10 +109,55 @@ def words(documents: DataFrame) -> DataFrame:
     return flat.select("doc_id", "page", region_of(F.col("regions"), F.col("i")).alias("region"), word_struct(F.col("i"), F.col("w.t"), F.col("w.n"), F.col("w.c"), geometry.from_array(F.col("w.b")), named).alias("word"))
 
 
+def counts(documents: DataFrame) -> DataFrame:
+    """(doc_id, pages, words, regions, values) of parsed documents; no shuffle."""
+    total = lambda part: F.aggregate("pages", F.lit(0), lambda a, p: a + F.coalesce(F.greatest(F.size(p[part]), F.lit(0)), F.lit(0)))
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return documents.select("doc_id", n("pages").alias("pages"), F.coalesce(total("words"), F.lit(0)).alias("words"), F.coalesce(total("regions"), F.lit(0)).alias("regions"), n("values").alias("values"))
+
+
+def values_of_words(documents: DataFrame) -> DataFrame:
+    """(doc_id, page, i, value_index, type, value): the values that each word refers to; no shuffle."""
+    flat = documents.select("doc_id", "values", F.explode("pages").alias("p")).select("doc_id", "values", F.col("p.page").alias("page"), F.posexplode("p.words").alias("i", "w"))
+    named = flat.select("doc_id", "values", "page", "i", F.explode("w.v").alias("value_index"))
+    return named.select("doc_id", "page", "i", "value_index", F.get("values", F.col("value_index"))["type"].alias("type"), F.get("values", F.col("value_index"))["value"].alias("value"))
+
+
+def words_of_values(documents: DataFrame) -> DataFrame:
+    """(doc_id, value_index, type, value, page, i, t): the words that each value names, in its order; no shuffle."""
+    flat = documents.select("doc_id", "pages", F.posexplode("values").alias("value_index", "x"))
+    named = flat.select("doc_id", "pages", "value_index", "x", F.explode("x.words").alias("i"))
+    word = F.get(F.get("pages", F.col("x.page") - 1)["words"], F.col("i"))
+    return named.select("doc_id", "value_index", "x.type", "x.value", "x.page", "i", word["t"].alias("t"))
+
+
+def words_in_region(documents: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, page, i, t): words of each page's first region of the type, whatever its case; no shuffle."""
+    pages = documents.select("doc_id", F.explode("pages").alias("p"))
+    first = F.get(F.filter("p.regions", lambda r: F.lower(r["type"]) == kind.lower()), F.lit(0))
+    held = pages.withColumn("r", first).filter("r is not null")
+    a, b = F.get("r.words", F.lit(0)), F.get("r.words", F.lit(1))
+    flat = held.select("doc_id", F.col("p.page").alias("page"), a.alias("a"), F.posexplode(F.slice("p.words", a + 1, F.greatest(b - a, F.lit(0)))).alias("at", "w"))
+    return flat.select("doc_id", "page", (F.col("a") + F.col("at")).alias("i"), "w.t")
+
+
+#: Types that an upload may state.
+MIME_TYPES = ("application/pdf", "application/octet-stream")
+
+
 def uploads(files: DataFrame, max_bytes: int = 25 * 1024 * 1024) -> DataFrame:
-    """``files`` (path, length, content) with a safe name and the code of what is wrong with an upload, null if nothing is."""
+    """``files`` (path, length, content, and content_type if known) with a safe name and the code of what is wrong with an upload, null if nothing is.
+
+    One file's fault says nothing about the others; no type stated is no fault.
+    """
     from ..functions.text import safe_file_name
 
     name = safe_file_name(F.col("path"))
-    code = F.when(~F.lower("path").endswith(".pdf"), "UNSUPPORTED_FORMAT").when(F.col("length") == 0, "EMPTY_FILE").when(F.col("length") > max_bytes, "FILE_TOO_LARGE").when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "INVALID_PDF")
+    stated = F.lower(F.btrim(F.substring_index("content_type", ";", 1))) if "content_type" in files.columns else F.lit("")
+    code = F.when(~F.lower("path").endswith(".pdf"), "UNSUPPORTED_FORMAT").when((stated != "") & ~stated.isin(*MIME_TYPES), "INVALID_MIME_TYPE").when(F.col("length") == 0, "EMPTY_FILE").when(F.col("length") > max_bytes, "FILE_TOO_LARGE").when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "INVALID_PDF")
     return files.select("path", name.alias("file_name"), "length", code.alias("error_code"))
+
+
+def too_many(files: DataFrame, most: int = 10) -> DataFrame:
+    """(job_id, files): the uploads (job_id, ...) that hold more files than one may."""
+    return files.groupBy("job_id").agg(F.count("*").alias("files")).filter(F.col("files") > most)
