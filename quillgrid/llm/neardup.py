@@ -40,7 +40,7 @@ from .frames import components, map_arrow, narrow
 U = np.uint64
 WIDTH, RANKS, BANDS = 5, 128, 32
 #: A fixed shuffle of the slots, taken between the affine steps of an element's permutation.
-_SHUFFLE = np.random.default_rng(20240229).permutation(RANKS).astype(U)
+_SHUFFLE = np.random.default_rng(20240229).permutation(RANKS).astype(np.uint8)
 #: Hash cells of the bound on shared shingles.
 CELLS = 128
 #: Links are confirmed at this percentage.
@@ -88,21 +88,25 @@ def superminhash(key: np.ndarray, offsets: np.ndarray, ranks: int = RANKS) -> np
     docs = len(offsets) - 1
     sig = np.full(docs * ranks, np.iinfo(U).max, dtype=U)
     doc = tb.owner(offsets)
+    row = doc * ranks
     seed = tb.mix(key ^ U(0xA0761D6478BD642F))
-    low = U(ranks - 1)
+    low = np.uint8(ranks - 1)
     shuffle = _SHUFFLE[_SHUFFLE < ranks]
-    steps = [((seed >> U(k)) & low | U(1), (seed >> U(k + 7)) & low) for k in (0, 14, 28)]
+    # slots are counted in single bytes: ``ranks`` divides 256, so their overflow is harmless
+    steps = [((seed >> U(k)).astype(np.uint8) & low | np.uint8(1), (seed >> U(k + 7)).astype(np.uint8) & low) for k in (0, 14, 28)]
     for j in range(ranks):
-        slot = np.full(len(seed), j, dtype=U)
+        slot = np.full(len(seed), j, dtype=np.uint8)
         for nth, (a, b) in enumerate(steps):
             slot = (a * (shuffle[slot] if nth else slot) + b) & low
         value = (tb.mix(seed + U((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> U(8)) | (U(j) << U(56))
-        np.minimum.at(sig, doc * ranks + slot.astype(np.int64), value)
+        np.minimum.at(sig, row + slot, value)
+        if j > 7 and j % 4:  # looking whether documents can stop costs more than a few offers too many
+            continue
         alive = (sig.reshape(docs, ranks).max(axis=1) >> U(56) > U(j))[doc]
         if not alive.any():
             break
         if not alive.all():
-            doc, seed, steps = doc[alive], seed[alive], [(a[alive], b[alive]) for a, b in steps]
+            doc, row, seed, steps = doc[alive], row[alive], seed[alive], [(a[alive], b[alive]) for a, b in steps]
     return sig.reshape(docs, ranks)
 
 
